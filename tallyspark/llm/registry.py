@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash
 
 QUERIES = {
+    "op1_bpe_encode_decode": bpe.op1,
     "op8_simhash_near_duplicates": simhash.op8,
 }
 
