@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, quality, simhash
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.op1,
+    "op2_quality_rules": quality.op2,
     "op8_simhash_near_duplicates": simhash.op8,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": quality.OP2_SQL,
+}
