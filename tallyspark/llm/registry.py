@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash
+from . import bpe, chat, quality, simhash, warc
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.op1,
     "op2_quality_rules": quality.op2,
+    "op4_chat_format": chat.op4,
     "op8_simhash_near_duplicates": simhash.op8,
 }
 
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op4_chat_format": chat.OP4_SQL,
+    "op6_warc_archives": warc.OP6_SQL,
 }
