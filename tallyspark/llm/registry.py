@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, simhash, warc
+from . import bpe, chat, htmltext, quality, simhash, warc
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.op1,
     "op2_quality_rules": quality.op2,
     "op4_chat_format": chat.op4,
+    "op7_main_text": htmltext.op7,
     "op8_simhash_near_duplicates": simhash.op8,
 }
 
