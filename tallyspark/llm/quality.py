@@ -79,11 +79,10 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = MAX_RATE) ->
     """
     by = measured.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = by.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    m, v = F.col("m"), F.col("v")
-    prior = prior.select("m", F.when(v > 1e-12, F.greatest(m * (1 - m) / v - 1, F.lit(1.0))).otherwise(1e6).alias("ab"))
-    one = F.broadcast(prior)  # one row
-    shrunk = by.join(one, F.lit(True)).withColumn("host_rate", (F.col("n_failed") + F.col("m") * F.col("ab")) / (F.col("n_docs") + F.col("ab")))
+    by = cut(by)
+    m, v = by.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers
+    ab = max(m * (1 - m) / v - 1, 1.0) if v and v > 1e-12 else 1e6
+    shrunk = by.withColumn("host_rate", (F.col("n_failed") + F.lit((m or 0.0) * ab)) / (F.col("n_docs") + F.lit(ab)))
     return shrunk.select(host, "n_docs", "n_failed", F.round("host_rate", 9).alias("host_rate"), (F.round("host_rate", 9) <= max_rate).alias("host_ok"))
 
 

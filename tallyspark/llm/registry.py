@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, htmltext, quality, simhash, warc
+from . import bpe, chat, htmltext, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.op1,
@@ -15,5 +15,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality.OP2_SQL,
     "op4_chat_format": chat.OP4_SQL,
+    "op5_toxicity": toxicity.op5,
     "op6_warc_archives": warc.OP6_SQL,
 }
