@@ -32,7 +32,7 @@ from .common import read, without
 
 LEAF = 256
 PART = 1 << 15
-CACHE = 400_000
+CACHE = 150_000
 #: Characters for which Python and the file's normaliser agree: printable ASCII, tab to carriage return, and Latin letters that NFC keeps and whose lower case is one character.
 PLAIN = re.compile("[\t-\r -~ -įı-ňŊ-ž]*")
 
@@ -49,6 +49,18 @@ def _plain(category: str) -> str:
     return "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == category and PLAIN.fullmatch(c))
 
 
+def strings_of(spec: dict) -> list[str | None]:
+    """The string of each id."""
+    table = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [table.get(i) for i in range(max(table) + 1)]
+
+
+def joined(ids: list[int], strings: list[str | None]) -> str:
+    """The file names no decoder, so tokens are joined by spaces; ids without a token are left out."""
+    n = len(strings)
+    return " ".join([t for i in ids if i < n and (t := strings[i]) is not None])
+
+
 class Bpe:
     """One vocabulary. ``encode`` gives ids, ``decode`` the text of ids, each as the file's own library does."""
 
@@ -70,8 +82,7 @@ class Bpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = re.compile(split.replace("\\p{L}", _plain("L")).replace("\\p{N}", _plain("N")))
         self.symbols = byte_symbols()
-        table = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.strings = [table.get(i) for i in range(max(table) + 1)]
+        self.strings = strings_of(spec)
         self.runs: dict[str, bytes] = {}
 
     # Pretokens to ids
@@ -183,9 +194,7 @@ class Bpe:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """The file names no decoder, so tokens are joined by spaces; ids without a token are left out."""
-        n, s = len(self.strings), self.strings
-        return " ".join([t for i in ids if i < n and (t := s[i]) is not None])
+        return joined(ids, self.strings)
 
     # Parts of long texts
 
@@ -240,6 +249,12 @@ def vocabulary(path: str) -> Bpe:
     return Bpe(path)
 
 
+@lru_cache(maxsize=2)
+def strings(path: str) -> list[str | None]:
+    with open(path, encoding="utf-8") as f:
+        return strings_of(json.load(f))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", part: int = PART) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``out``: ids as little-endian unsigned 32-bit integers.
 
@@ -274,7 +289,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
             ids = [known if known is not None else bpe.encode_part(w, e) for known, w, e in zip(d["ids"], d["words"], d["ends"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), b.column("at"), b.column("ends"), pa.array(ids, pa.binary())], names=["row", "key", "at", "ends", "ids"])
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for b in batches:
             ids = [bpe.join_parts([(p["ends"], p["ids"]) for p in parts]) for parts in b.column("parts").to_pylist()]
@@ -288,7 +303,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
     # Equal rows have equal keys; each part then comes as many times as the row does.
     met = dealt.mapInArrow(leaf, f"row {row_type}, key string, at int, ends boolean, ids binary").groupBy("key", "at").agg(F.first("row").alias("row"), F.first("ends").alias("ends"), F.first("ids").alias("ids"), F.count("*").alias("n"))
     whole = met.groupBy("key").agg(F.first("row").alias("row"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "ends", "ids"))).alias("parts"))
-    many = whole.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row", "parts").mapInArrow(joined, done)
+    many = whole.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row", "parts").mapInArrow(whole_ids, done)
     return few.unionAll(many).select("row.*", F.col("ids").alias(out))
 
 
@@ -297,8 +312,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
 
     @F.pandas_udf("string")
     def text_of(s):  # noqa: ANN001, ANN202
-        bpe = vocabulary(path)
-        return s.map(lambda x: bpe.decode(np.frombuffer(x or b"", "<u4").tolist()))
+        table = strings(path)
+        return s.map(lambda x: joined(np.frombuffer(x or b"", "<u4").tolist(), table))
 
     return without(df, out).withColumn(out, text_of(F.col(f"`{ids}`")))
 
