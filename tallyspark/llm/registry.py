@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, htmltext, pq, quality, simhash, toxicity, warc
+from . import bpe, chat, htmltext, pq, quality, simhash, suffixdedup, toxicity, warc
 
 QUERIES = {
     "op1_bpe_encode_decode": bpe.op1,
@@ -12,10 +12,11 @@ QUERIES = {
     "op6_warc_archives": warc.op6,
     "op7_main_text": htmltext.op7,
     "op8_simhash_near_duplicates": simhash.op8,
+    "op9_suffix_array_dedup": suffixdedup.op9,
     "op10_embedding_near_duplicates": pq.op10,
 }
 
-#: The others (op1, op5, op7, op8, op10) are tested against the library, held-out labels or brute force.
+#: The others (op1, op5, op7, op8, op9, op10) are tested against the library, held-out labels or brute force.
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality.OP2_SQL,
     "op4_chat_format": chat.OP4_SQL,
