@@ -138,6 +138,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = 3, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose id names their component; of several rows of that id one. Rows of a null id stay."""
+    groups = near_duplicates(docs, id_col, text, bits, words)
+    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+    some = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return some.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

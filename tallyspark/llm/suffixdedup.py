@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read
@@ -411,6 +411,16 @@ def _sizes(flat: np.ndarray, n: int, length: int) -> np.ndarray:
     return out
 
 
+def whole_characters(kept: Column) -> Column:
+    """The text of what was kept; bytes of characters that were cut in two fall out."""
+
+    @F.pandas_udf("string")
+    def text(s):  # noqa: ANN001, ANN202
+        return s.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
+
+    return text(kept)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removals(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
