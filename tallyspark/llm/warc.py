@@ -86,6 +86,18 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if full else zstandard.DICT_TYPE_RAWCONTENT)
 
 
+def frame_end(archive: bytes, at: int) -> int:
+    """Where the Zstandard frame at ``at`` ends: its blocks tell their sizes, so nothing is unpacked to find out."""
+    checksum = zstandard.get_frame_parameters(archive[at : at + 18]).has_checksum
+    end = at + zstandard.frame_header_size(archive[at : at + 18])
+    last = False
+    while not last:
+        head = int.from_bytes(archive[end : end + 3], "little")
+        last, kind = bool(head & 1), head >> 1 & 3
+        end += 3 + (1 if kind == 1 else head >> 3)  # a block of one repeated byte holds that byte
+    return end + 4 * checksum
+
+
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record; frames are followed one by one, skippable ones but the dictionary passed over."""
     at, press = 0, None
@@ -96,9 +108,9 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 press = zstandard.ZstdDecompressor(dict_data=_dictionary(archive[at + 8 : at + 8 + size]))
             at += 8 + size
             continue
-        one = (press or zstandard.ZstdDecompressor()).decompressobj()
-        data = one.decompress(memoryview(archive)[at:])
-        at = len(archive) - len(one.unused_data)
+        end = frame_end(archive, at)
+        data = (press or zstandard.ZstdDecompressor()).decompress(archive[at:end])
+        at = end
         head, _, rest = data.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield headers, rest[: int(headers["Content-Length"])]
@@ -129,8 +141,8 @@ def write(pages: DataFrame, folder: str, least: int = 100, level: int = 3, date:
     total = p.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
     n = 1 + total // archive_bytes
     refs = with_refers(p, least).select("page_id", F.col("digest").alias("d"), "refers_to", "refers_url")
-    left = p.repartition(n, "page_id")
-    both = left.join(refs.repartition(n, "page_id").withColumnRenamed("page_id", "rid"), (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("d")), "left")
+    refs = refs.withColumnRenamed("page_id", "rid").repartition(n, "rid", "d")
+    both = p.repartition(n, "page_id", "digest").join(refs, (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("d")), "left")
     both = both.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "refers_to", "refers_url")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
