@@ -1,6 +1,683 @@
-"""Every query of the library by name, and the SQL that gives the same rows."""
+"""Every query of the library by name, and the SQL that gives the same rows.
+
+Queries that hash use md5 words, which any SQL engine has, so their cells and estimates can be compared number by number. Where
+a structure draws at random or hashes otherwise, the query returns what must hold for any draw: no false negatives,
+an exact total, an error within its bound.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.sketches import prefiltered_join
+from ..operators import cardinality as card
+from ..operators import folds, sampling, similarity
+from ..operators import frequency as freq
+from ..operators import membership as memb
+from ..operators import ranges as rng
+from ..operators import reconcile as rec
+from ..operators import static_filters as stat
+from ..operators.quantiles import DDSketch
+from ..operators.windows import SlidingWindow
+from ..sources import codec
+from ..sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def words(key: str, prefix: str = "") -> str:
+    """SQL for the two words of a key's hash."""
+    h = f"md5({prefix}({key})::VARCHAR)"
+    return f"('0x' || substr({h}, 1, 8))::BIGINT AS hi, ('0x' || substr({h}, 9, 8))::BIGINT AS lo"
+
+
+def probe(i: str, m: int) -> str:
+    return f"((lo + hi * {i}) & 4294967295) % {m}"
+
+
+def series(n: int, name: str = "i") -> str:
+    return f"(SELECT unnest(range({n})) AS {name})"
+
+
+# Quantiles
+
+G = (1 + 0.01) / (1 - 0.01)
+
+
+def ddsketch_sql(source: str, value: str, by: str, qs: list[float]) -> str:
+    return f"""
+WITH c AS (
+  SELECT {by}, CASE WHEN {value} > 0 THEN 1 WHEN {value} < 0 THEN -1 ELSE 0 END AS sign,
+    CASE WHEN {value} = 0 THEN 0 ELSE ceil(ln(abs({value})) / {math.log(G)!r}::DOUBLE)::BIGINT END AS bucket, count(*) AS cnt
+  FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, sum(cnt) OVER (PARTITION BY {by} ORDER BY sign, sign * bucket) AS upto, sum(cnt) OVER (PARTITION BY {by}) AS n FROM c)
+SELECT {by}, q, sign, bucket FROM w, (SELECT unnest({qs}::DOUBLE[]) AS q) WHERE upto > q * (n - 1) AND upto - cnt <= q * (n - 1)
+"""
+
+
+@query(ddsketch_sql("events", "value", "event_type", [0.5, 0.9, 0.99]))
+def ddsketch_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    made = DDSketch.build(table(spark, d, "events"), "value", DDSketch.sized(0.01), ("event_type",))
+    return made.quantiles([0.5, 0.9, 0.99]).select("event_type", "q", "sign", "bucket")
+
+
+@query(ddsketch_sql("customer", "c_acctbal", "c_mktsegment", [0.01, 0.25, 0.75]))
+def ddsketch_signed(spark: SparkSession, d: str) -> DataFrame:
+    made = DDSketch.build(table(spark, d, "customer"), "c_acctbal", DDSketch.sized(0.01), ("c_mktsegment",))
+    return made.quantiles([0.01, 0.25, 0.75]).select("c_mktsegment", "q", "sign", "bucket")
+
+
+@query("SELECT l_returnflag, count(*)::BIGINT AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1")
+def ddsketch_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Built by flag and status, rolled up to the flag: the same cells as built by the flag."""
+    made = DDSketch.build(table(spark, d, "lineitem"), "l_extendedprice", DDSketch.sized(0.01), ("l_returnflag", "l_linestatus"))
+    return made.rollup("l_returnflag").summary()
+
+
+@query("SELECT event_type, true AS within FROM events WHERE value IS NOT NULL GROUP BY 1")
+def ddsketch_error(spark: SparkSession, d: str) -> DataFrame:
+    """The median is within one hundredth of a true value around the middle."""
+    ev = table(spark, d, "events")
+    est = DDSketch.build(ev, "value", DDSketch.sized(0.01), ("event_type",)).quantiles([0.5]).select("event_type", "value")
+    true = ev.groupBy("event_type").agg(F.percentile("value", 0.499).alias("a"), F.percentile("value", 0.501).alias("b"))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return est.join(true, "event_type").select("event_type", F.col("value").between(low * 0.985 - 1e-9, high * 1.015 + 1e-9).alias("within"))
+
+
+# Membership
+
+BLOOM = memb.BloomFilter.sized(1500, 0.01)
+
+
+@query(f"WITH h AS (SELECT DISTINCT {words('o_custkey')} FROM orders) SELECT DISTINCT {probe('i', BLOOM['m'])} AS pos FROM h, {series(BLOOM['k'])}")
+def bloom_bits(spark: SparkSession, d: str) -> DataFrame:
+    return memb.BloomFilter.build(table(spark, d, "orders"), "o_custkey", BLOOM).positions().select("pos")
+
+
+@query("SELECT count(*) AS n_true, 0::BIGINT AS n_false_negative FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def bloom_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
+    n = keys.count()
+    lines = memb.BloomFilter.build(keys, "k", memb.BloomFilter.sized(max(n, 1), 0.01, "xxhash64")).test(table(spark, d, "lineitem").select("l_orderkey").withColumnRenamed("l_orderkey", "k"), "k")
+    lines = lines.join(keys.distinct(), "k", "left_semi")
+    return lines.agg(F.count("*").alias("n_true"), F.count_if(~F.col("member")).alias("n_false_negative"))
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {words('user_id')} FROM events),
+p AS (SELECT event_id, {probe('i', BLOOM['m'])} AS pos FROM e, {series(BLOOM['k'])}),
+f AS (SELECT pos, min(event_id) AS first FROM p GROUP BY pos)
+SELECT event_id, bool_and(first < event_id) AS seen FROM p JOIN f USING (pos) GROUP BY event_id""")
+def bloom_test_and_add(spark: SparkSession, d: str) -> DataFrame:
+    rows = memb.BloomFilter.test_and_add(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", BLOOM, "seen")
+    return rows.select("event_id", "seen")
+
+
+BLOOM64 = memb.BloomFilter64.sized(1500, 0.001)
+
+
+@query(f"""
+WITH h AS (SELECT DISTINCT ('0x' || substr(md5(c_custkey::VARCHAR), 1, 16))::UBIGINT::HUGEINT AS lo, ('0x' || substr(md5(c_custkey::VARCHAR), 17, 16))::UBIGINT::HUGEINT AS hi FROM customer)
+SELECT DISTINCT ((lo + hi * i) % 18446744073709551616 % {BLOOM64['m']})::BIGINT AS pos FROM h, {series(BLOOM64['k'])}""")
+def bloom64_bits(spark: SparkSession, d: str) -> DataFrame:
+    return memb.BloomFilter64.build(table(spark, d, "customer"), "c_custkey", BLOOM64).positions().select("pos")
+
+
+PART = memb.PartitionedBloomFilter.sized(2000, 0.01)
+
+
+@query(f"WITH h AS (SELECT DISTINCT {words('p_partkey')} FROM part) SELECT DISTINCT i::INT AS part, {probe('i', PART['slice'])} AS pos FROM h, {series(PART['k'])}")
+def partitioned_bits(spark: SparkSession, d: str) -> DataFrame:
+    return memb.PartitionedBloomFilter.build(table(spark, d, "part"), "p_partkey", PART).parts()
+
+
+COUNTING = memb.CountingBloomFilter.sized(2000, 0.01)
+
+
+@query(f"WITH h AS (SELECT {words('l_partkey')} FROM lineitem), p AS (SELECT {probe('i', COUNTING['m'])} AS pos FROM h, {series(COUNTING['k'])}) SELECT pos, least(count(*), 15)::BIGINT AS cnt FROM p GROUP BY pos")
+def counting_cells(spark: SparkSession, d: str) -> DataFrame:
+    return memb.CountingBloomFilter.build(table(spark, d, "lineitem"), "l_partkey", COUNTING).cells
+
+
+@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS n_missing FROM supplier WHERE s_suppkey % 2 = 0")
+def counting_remove(spark: SparkSession, d: str) -> DataFrame:
+    """After half of the keys went, none of the others is missing."""
+    s = table(spark, d, "supplier").select("s_suppkey")
+    spec = memb.CountingBloomFilter.sized(max(s.count(), 1), 0.01, 8)
+    left = memb.CountingBloomFilter.build(s, "s_suppkey", spec).remove(s.where("s_suppkey % 2 = 1"), "s_suppkey")
+    return left.test(s.where("s_suppkey % 2 = 0"), "s_suppkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing"))
+
+
+DELETABLE = memb.DeletableBloomFilter.sized(100, 0.01, 40)
+
+
+@query(f"""
+WITH h AS (SELECT {words('s_suppkey')} FROM supplier), p AS (SELECT {probe('i', DELETABLE['m'])} AS pos FROM h, {series(DELETABLE['k'])}),
+c AS (SELECT pos, count(*) AS hits FROM p GROUP BY pos) SELECT pos // {DELETABLE['region']} AS region, max(hits) > 1 AS collided FROM c GROUP BY 1""")
+def deletable_regions(spark: SparkSession, d: str) -> DataFrame:
+    return memb.DeletableBloomFilter.build(table(spark, d, "supplier"), "s_suppkey", DELETABLE).regions()
+
+
+QF = memb.QuotientFilter.sized(1500, 0.01)
+
+
+@query(f"WITH h AS (SELECT {words('o_custkey')} FROM orders), f AS (SELECT hi >> {32 - QF['q'] - QF['r']} AS f FROM h) SELECT f >> {QF['r']} AS quotient, f & {(1 << QF['r']) - 1} AS remainder, count(*) AS cnt FROM f GROUP BY ALL")
+def quotient_multiset(spark: SparkSession, d: str) -> DataFrame:
+    return memb.QuotientFilter.build(table(spark, d, "orders"), "o_custkey", QF).cells
+
+
+SCALABLE = memb.ScalableBloomFilter.sized(2000, 0.01)
+
+
+def _scalable_sql() -> str:
+    steps = memb.ScalableBloomFilter.filters(SCALABLE, 300_000)
+    case = " ".join(f"WHEN place < {end} THEN {j}" for j, (_, _, end) in enumerate(steps))
+    return f"SELECT filter::INT AS filter, count(*) AS n_items FROM (SELECT CASE {case} END AS filter FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS place FROM events)) GROUP BY 1"
+
+
+@query(_scalable_sql())
+def scalable_fill(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = memb.ScalableBloomFilter.placed(table(spark, d, "events").select("event_id"), "event_id", "event_id", SCALABLE)
+    return rows.groupBy("filter").agg(F.count("*").alias("n_items"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS n_missing FROM events")
+def scalable_members(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").select("event_id")
+    made = memb.ScalableBloomFilter.build(ev, "event_id", "event_id", memb.ScalableBloomFilter.sized(2000, 0.01))
+    return made.test(ev, "event_id").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing"))
+
+
+@query(f"WITH h AS (SELECT event_id, user_id, {words('user_id')} FROM events) SELECT event_id, coalesce(lag(user_id) OVER (PARTITION BY lo % 64 ORDER BY event_id) = user_id, false) AS seen FROM h")
+def inverse_seen(spark: SparkSession, d: str) -> DataFrame:
+    rows = memb.InverseBloomFilter.test_and_add(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 64, out="seen")
+    return rows.select("event_id", "seen")
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS n_refused, 0::BIGINT AS n_missing FROM orders")
+def cuckoo_members(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    spec = folds.CuckooFilter.sized(max(keys.count(), 1), 0.01)
+    ops = keys.select("k", F.lit("add").alias("op"), F.col("k").alias("at")).unionAll(keys.select("k", F.lit("test"), F.col("k") + (1 << 40)))
+    done = folds.CuckooFilter.run(ops, "k", "at", spec)
+    return done.agg(F.count_if(F.col("op") == "add").alias("n"), F.count_if((F.col("op") == "add") & ~F.col("done")).alias("n_refused"), F.count_if((F.col("op") == "test") & ~F.col("was_member")).alias("n_missing"))
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 2 = 1) AS n_removed, 0::BIGINT AS n_missing FROM orders")
+def cuckoo_churn(spark: SparkSession, d: str) -> DataFrame:
+    """Add all, take the odd keys out, ask for the even ones."""
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    spec = folds.CuckooFilter.sized(max(keys.count(), 1), 0.001)
+    step = lambda rows, op, n: rows.select("k", F.lit(op).alias("op"), (F.col("k") + (n << 40)).alias("at"))
+    ops = step(keys, "add", 0).unionAll(step(keys.where("k % 2 = 1"), "remove", 1)).unionAll(step(keys.where("k % 2 = 0"), "test", 2))
+    done = folds.CuckooFilter.run(ops, "k", "at", spec)
+    return done.agg(F.count_if((F.col("op") == "remove") & F.col("done")).alias("n_removed"), F.count_if((F.col("op") == "test") & ~F.col("was_member")).alias("n_missing"))
+
+
+INFINI = rng.InfiniFilter.sized(1024, 8)
+
+
+def _infini_sql() -> str:
+    steps = rng.InfiniFilter.widths(INFINI, 100_000_000)
+    case = " ".join(f"WHEN place >= {at} THEN {w}" for at, w in reversed(steps))
+    return f"""
+WITH h AS (SELECT CASE {case} END AS width, ((hi & 1073741823) << 32) | lo AS low FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, {words('o_orderkey')} FROM orders))
+SELECT width::INT AS width, low & ((1::BIGINT << width) - 1) AS value, count(*) AS cnt FROM h GROUP BY ALL"""
+
+
+@query(_infini_sql())
+def infini_cells(spark: SparkSession, d: str) -> DataFrame:
+    return rng.InfiniFilter.build(table(spark, d, "orders"), "o_orderkey", "o_orderkey", INFINI).cells
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS n_missing FROM orders WHERE o_orderkey % 3 <> 0")
+def infini_members(spark: SparkSession, d: str) -> DataFrame:
+    """After a third of the keys went, none of the others is missing."""
+    keys = table(spark, d, "orders").select("o_orderkey")
+    made = rng.InfiniFilter.build(keys, "o_orderkey", "o_orderkey", rng.InfiniFilter.sized(1024, 16)).remove(keys.where("o_orderkey % 3 = 0"), "o_orderkey")
+    return made.test(keys.where("o_orderkey % 3 <> 0"), "o_orderkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing"))
+
+
+@query("SELECT count(*) AS n_events, 0::BIGINT AS n_new_called_old FROM events")
+def stable_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """A filter far larger than the keys it meets: no first event of a user is called a repeat."""
+    rows = folds.StableBloomFilter.test_and_add(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", folds.StableBloomFilter.sized(1 << 20, 3, 0.0001, 4))
+    first = rows.groupBy("user_id").agg(F.min("event_id").alias("event_id")).withColumn("first", F.lit(True))
+    rows = rows.join(first, ["user_id", "event_id"], "left")
+    return rows.agg(F.count("*").alias("n_events"), F.count_if(F.col("first") & F.col("member")).alias("n_new_called_old"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS n_missing FROM customer")
+def fuse_members(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "customer").select("c_custkey")
+    made = stat.BinaryFuseFilter.build(keys, "c_custkey", stat.BinaryFuseFilter.sized(max(keys.count(), 1), 16))
+    return made.test(keys, "c_custkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing"))
+
+
+@query("SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer")
+def bloomier_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    made = stat.BloomierFilter.build(rows, "c_custkey", stat.BloomierFilter.sized(max(rows.count(), 1), 8), value="c_nationkey")
+    return made.lookup(rows.select("c_custkey"), "c_custkey", "c_nationkey")
+
+
+@query("SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
+def prefiltered(spark: SparkSession, d: str) -> DataFrame:
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("k"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_extendedprice")
+    return prefiltered_join(lines, urgent, "k").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+# Cardinality
+
+
+def bitlen(x: str) -> str:
+    """SQL for the length of a number in binary."""
+    return f"(CASE WHEN {x} > 0 THEN length(bin({x})) ELSE 0 END)"
+
+
+@query(f"""
+WITH h AS (SELECT o_orderpriority, {words('o_custkey')} FROM orders),
+r AS (SELECT o_orderpriority, lo >> 22 AS idx, max(23 - {bitlen('(lo & 4194303)')}) AS reg FROM h GROUP BY ALL),
+s AS (SELECT o_orderpriority, sum(pow(2.0, -reg)) + 1024 - count(*) AS s, 1024 - count(*) AS v FROM r GROUP BY 1),
+e AS (SELECT *, {0.7213 / (1 + 1.079 / 1024) * 1024 * 1024!r}::DOUBLE / s AS raw FROM s)
+SELECT o_orderpriority, trunc(CASE WHEN raw <= 2560 THEN CASE WHEN v > 0 THEN 1024 * ln(1024.0::DOUBLE / v) ELSE raw END
+  WHEN raw > 4294967296.0 / 30 THEN -4294967296.0 * ln(1 - raw / 4294967296.0) ELSE raw END)::BIGINT AS estimate FROM e""")
+def hll_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return card.HyperLogLog.build(table(spark, d, "orders"), "o_custkey", card.HyperLogLog.sized(1024), ("o_orderpriority",)).count()
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS estimate FROM events GROUP BY 1")
+def hllp_sparse_count(spark: SparkSession, d: str) -> DataFrame:
+    return card.HyperLogLogPlus.distinct(table(spark, d, "events"), "user_id", card.HyperLogLogPlus.sized(14), ("event_type",))
+
+
+def nlz(p: int) -> str:
+    """SQL for the zeros of the bits behind the first p of a hash."""
+    head = f"(hi & {(1 << (32 - p)) - 1})"
+    return f"(CASE WHEN {head} > 0 THEN {32 - p} - {bitlen(head)} ELSE {64 - p} - {bitlen('lo')} END)"
+
+
+def _dense_sql(p: int) -> str:
+    m, q = 1 << p, 64 - p
+    sigma = " + ".join(["x0", *(f"pow(x0, {2.0**k!r}::DOUBLE) * {2.0 ** (k - 1)!r}::DOUBLE" for k in range(1, 61))])
+    loss = " + ".join(f"pow(1 - pow(x1, {2.0**-k!r}::DOUBLE), 2.0::DOUBLE) * {2.0**-k!r}::DOUBLE" for k in range(1, 61))
+    return f"""
+WITH h AS (SELECT l_returnflag, {words('l_orderkey')} FROM lineitem),
+r AS (SELECT l_returnflag, hi >> {32 - p} AS idx, max({nlz(p)} + 1) AS reg FROM h GROUP BY ALL),
+s AS (SELECT l_returnflag, sum(CASE WHEN reg <= {q} THEN pow(2.0::DOUBLE, -reg) ELSE 0 END) AS s, ({m} - count(*)) / {float(m)!r}::DOUBLE AS x0, ({m} - count(*) FILTER (reg = {q + 1})) / {float(m)!r}::DOUBLE AS x1 FROM r GROUP BY 1),
+z AS (SELECT l_returnflag, s + {m} * (CASE WHEN x1 IN (0, 1) THEN 0 ELSE (1 - x1 - ({loss})) / 3 END) * {2.0**-q!r}::DOUBLE + {m} * (CASE WHEN x0 = 1 THEN 'inf'::DOUBLE ELSE {sigma} END) AS z FROM s)
+SELECT l_returnflag, round_even({0.5 / math.log(2) * m * m!r}::DOUBLE / z, 0)::BIGINT AS estimate FROM z"""
+
+
+@query(_dense_sql(10))
+def hllp_dense_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return card.HyperLogLogPlus.build(table(spark, d, "lineitem"), "l_orderkey", card.HyperLogLogPlus.sized(10), ("l_returnflag",)).count()
+
+
+@query(f"WITH h AS (SELECT {words('o_custkey')} FROM orders) SELECT hi >> 24 AS idx, bit_or(1::BIGINT << ({nlz(8)} + 7)) AS posmask FROM h GROUP BY 1")
+def ull_registers(spark: SparkSession, d: str) -> DataFrame:
+    return card.UltraLogLog.build(table(spark, d, "orders"), "o_custkey", card.UltraLogLog.sized(8)).cells
+
+
+@query("SELECT o_orderstatus, true AS within, true AS coarse_within FROM orders GROUP BY 1")
+def ull_error(spark: SparkSession, d: str) -> DataFrame:
+    """Within five standard errors, at the precision built and folded to a coarser one."""
+    orders = table(spark, d, "orders")
+    made = card.UltraLogLog.build(orders, "o_orderkey", card.UltraLogLog.sized(11), ("o_orderstatus",))
+    true = orders.groupBy("o_orderstatus").agg(F.count_distinct("o_orderkey").alias("n"))
+    rows = true.join(made.count("a"), "o_orderstatus").join(made.coarser(9).count("b"), "o_orderstatus")
+    ok = lambda c, p: F.abs(F.col(c) - F.col("n")) <= 5 * card.UltraLogLog.relative_error(p) * F.col("n") + 1
+    return rows.select("o_orderstatus", ok("a", 11).alias("within"), ok("b", 9).alias("coarse_within"))
+
+
+def _theta_sql(k: int, how: str) -> str:
+    side = lambda s: f"""
+{s} AS (SELECT DISTINCT hi::HUGEINT * 4294967296 + lo AS h FROM (SELECT {words('o_custkey')} FROM orders WHERE o_orderstatus = '{s}')),
+r{s} AS (SELECT h, row_number() OVER (ORDER BY h) AS n, count(*) OVER () AS c FROM {s}),
+t{s} AS (SELECT coalesce(max(CASE WHEN c >= {2 * k} AND n = {k + 1} THEN h END), 18446744073709551615::HUGEINT) AS theta FROM r{s}),
+k{s} AS (SELECT h, theta FROM {s}, t{s} WHERE h < theta)"""
+    both = {
+        "union": f"""u AS (SELECT DISTINCT h FROM (SELECT h FROM kf UNION ALL SELECT h FROM ko), t WHERE h < theta), ru AS (SELECT h, row_number() OVER (ORDER BY h) AS n, count(*) OVER () AS c FROM u),
+t2 AS (SELECT coalesce(max(CASE WHEN c >= {2 * k} AND n = {k + 1} THEN h END), (SELECT theta FROM t)) AS theta FROM ru), x AS (SELECT h, theta FROM u, t2 WHERE h < theta)""",
+        "intersect": "x AS (SELECT kf.h, t.theta FROM kf SEMI JOIN ko ON kf.h = ko.h, t WHERE kf.h < t.theta)",
+        "difference": "x AS (SELECT kf.h, t.theta FROM kf ANTI JOIN ko ON kf.h = ko.h, t WHERE kf.h < t.theta)",
+    }[how]
+    sides = (side("F") + "," + side("O")).replace("rF", "rf").replace("rO", "ro").replace("tF", "tf").replace("tO", "to_").replace("kF", "kf").replace("kO", "ko")
+    return f"""WITH {sides}, t AS (SELECT least((SELECT theta FROM tf), (SELECT theta FROM to_)) AS theta),
+{both}
+SELECT coalesce(CASE WHEN min(theta) = 18446744073709551615::HUGEINT THEN count(*) ELSE round_even(count(*) * 18446744073709551616.0::DOUBLE / min(theta)::DOUBLE, 0) END, 0)::BIGINT AS estimate FROM x"""
+
+
+def _thetas(spark: SparkSession, d: str) -> tuple[card.ThetaSketch, card.ThetaSketch]:
+    orders, spec = table(spark, d, "orders"), card.ThetaSketch.sized(256)
+    f, o = (card.ThetaSketch.build(orders.where(F.col("o_orderstatus") == s), "o_custkey", spec) for s in "FO")
+    return f, o
+
+
+@query(_theta_sql(256, "union"))
+def theta_union(spark: SparkSession, d: str) -> DataFrame:
+    f, o = _thetas(spark, d)
+    return f.union(o).count()
+
+
+@query(_theta_sql(256, "intersect"))
+def theta_intersect(spark: SparkSession, d: str) -> DataFrame:
+    f, o = _thetas(spark, d)
+    return f.intersect(o).count()
+
+
+@query(_theta_sql(256, "difference"))
+def theta_difference(spark: SparkSession, d: str) -> DataFrame:
+    f, o = _thetas(spark, d)
+    return f.difference(o).count()
+
+
+@query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS estimate, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def tuple_total(spark: SparkSession, d: str) -> DataFrame:
+    made = card.TupleSketch.build(table(spark, d, "orders"), "o_custkey", card.TupleSketch.sized(1 << 20), ("o_orderstatus",), value="o_totalprice")
+    return made.count().join(made.total(), "o_orderstatus").select("o_orderstatus", "estimate", F.round("total", 2).alias("total"))
+
+
+# Reconciliation
+
+
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 1499 = 7 THEN 1 ELSE -1 END::BIGINT AS side FROM orders WHERE o_orderkey % 1499 IN (7, 8)")
+def iblt_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """Two copies of a table that each lack some rows: the table of cells is sized for the difference, not for the rows."""
+    keys = table(spark, d, "orders").select("o_orderkey")
+    a, b = keys.where("o_orderkey % 1499 <> 8"), keys.where("o_orderkey % 1499 <> 7")
+    n = keys.where("o_orderkey % 1499 in (7, 8)").count()
+    return rec.difference(a, b, "o_orderkey", max(n, 8))
+
+
+# Frequency
+
+CMS = freq.CountMinSketch.sized(0.001, 0.01)
+
+
+@query(f"""
+WITH h AS (SELECT l_partkey, {words('l_partkey')} FROM lineitem),
+p AS (SELECT l_partkey, i, {probe('i', CMS['width'])} AS col FROM h, {series(CMS['depth'])}),
+c AS (SELECT i, col, count(*) AS cnt FROM p GROUP BY ALL)
+SELECT l_partkey, min(cnt) AS estimate FROM (SELECT DISTINCT * FROM p) JOIN c USING (i, col) GROUP BY 1""")
+def cms_estimate(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    return freq.CountMinSketch.build(lines, "l_partkey", CMS).estimate(lines, "l_partkey")
+
+
+@query(f"WITH h AS (SELECT l_returnflag, {words('l_suppkey')} FROM lineitem) SELECT l_returnflag, i::INT AS row, {probe('i', CMS['width'])} AS col, count(*) AS cnt FROM h, {series(CMS['depth'])} GROUP BY ALL")
+def cms_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The halves of a table, merged and rolled up: the cells of the whole."""
+    lines, by = table(spark, d, "lineitem"), ("l_returnflag", "l_linestatus")
+    a, b = (freq.CountMinSketch.build(lines.where(F.col("l_orderkey") % 2 == x), "l_suppkey", CMS, by) for x in (0, 1))
+    return a.merge(b).rollup("l_returnflag").cells
+
+
+CS = freq.CountSketch.sized(0.05, 0.01)
+
+
+@query(f"""
+WITH s AS (SELECT DISTINCT l_suppkey FROM lineitem), h AS (SELECT l_suppkey, i, {words("i::VARCHAR || ':' || l_suppkey::VARCHAR")} FROM s, {series(CS['depth'])}),
+p AS (SELECT l_suppkey, i, hi % {CS['width']} AS col, 1 - 2 * (lo % 2) AS sign FROM h), n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1),
+c AS (SELECT i, col, sum(n * sign)::BIGINT AS cnt FROM p JOIN n USING (l_suppkey) GROUP BY ALL),
+e AS (SELECT l_suppkey, list_sort(list(cnt * sign)) AS a FROM p JOIN c USING (i, col) GROUP BY 1)
+SELECT l_suppkey, {'a[' + str(CS['depth'] // 2 + 1) + ']' if CS['depth'] % 2 else f"trunc((a[{CS['depth'] // 2}] + a[{CS['depth'] // 2 + 1}]) / 2)"}::BIGINT AS estimate FROM e""")
+def count_sketch_estimate(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    return freq.CountSketch.build(lines, "l_suppkey", CS).estimate(lines, "l_suppkey")
+
+
+SUBLIME = freq.SublimeCountMinSketch.sized(growth=0.6)
+
+
+def _sublime_sql() -> str:
+    limits = freq.SublimeCountMinSketch.limits(SUBLIME, 100_000_000)
+    case = " ".join(f"WHEN place >= {x} THEN {e + 1}" for e, x in reversed(list(enumerate(limits))))
+    return f"""
+WITH r AS (SELECT o_custkey, CASE {case} ELSE 0 END AS epoch, {words('o_custkey')} FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)),
+c AS (SELECT epoch, i, (lo + hi * i) & ((64::BIGINT << epoch) - 1) AS col, count(*) AS cnt FROM r, {series(4)} GROUP BY ALL),
+k AS (SELECT DISTINCT o_custkey, hi, lo FROM r), e AS (SELECT DISTINCT epoch FROM r),
+s AS (SELECT o_custkey, i, sum(coalesce(cnt, 0)) AS cnt FROM (SELECT o_custkey, epoch, i, (lo + hi * i) & ((64::BIGINT << epoch) - 1) AS col FROM k, e, {series(4)}) LEFT JOIN c USING (epoch, i, col) GROUP BY ALL)
+SELECT o_custkey, min(cnt)::BIGINT AS estimate FROM s GROUP BY 1"""
+
+
+@query(_sublime_sql())
+def sublime_estimate(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return freq.SublimeCountMinSketch.build(orders, "o_custkey", "o_orderkey", SUBLIME).estimate(orders, "o_custkey")
+
+
+@query(f"""
+WITH h AS (SELECT l_suppkey, {words('l_suppkey')} FROM lineitem), p AS (SELECT l_suppkey, i, {probe('i', CMS['width'])} AS col FROM h, {series(CMS['depth'])}),
+c AS (SELECT i, col, count(*) AS cnt FROM p GROUP BY ALL), e AS (SELECT l_suppkey, min(cnt) AS estimate FROM (SELECT DISTINCT * FROM p) JOIN c USING (i, col) GROUP BY 1)
+SELECT l_suppkey, estimate FROM e ORDER BY estimate DESC, l_suppkey LIMIT 10""")
+def top_k(spark: SparkSession, d: str) -> DataFrame:
+    return freq.top_k(table(spark, d, "lineitem"), "l_suppkey", 10, CMS)
+
+
+@query("SELECT 10::BIGINT AS n, 0::BIGINT AS n_over")
+def heavy_keeper_not_over(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").select("user_id", "event_id")
+    found = folds.heavy_keeper(ev, "user_id", "event_id", 10)
+    true = ev.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.count("*").alias("n"))
+    return found.join(true, "user_id", "left").agg(F.count("*").alias("n"), F.count_if(F.col("estimate") > F.coalesce(F.col("n"), F.lit(0))).alias("n_over"))
+
+
+@query("SELECT true AS within, true AS complete")
+def private_cms_noise(spark: SparkSession, d: str) -> DataFrame:
+    """The mean error is within four standard deviations of the noise, and cells without keys have noise too."""
+    spec = freq.PrivateCountMinSketch.sized(0.01, 0.05, 1.0, 7)
+    ev = table(spark, d, "events")
+    made = freq.PrivateCountMinSketch.build(ev, "user_id", spec)
+    true = ev.groupBy("user_id").agg(F.count("*").alias("n"))
+    sigma = math.sqrt(spec["depth"] / spec["rho"])
+    error = made.estimate(ev, "user_id").join(true, "user_id").agg((F.avg(F.abs(F.col("estimate") - F.col("n"))) <= 4 * sigma + 0.01 * F.sum("n")).alias("within"))
+    cells = made.cells.agg((F.count_if(F.col("cnt") != 0) == spec["width"] * spec["depth"]).alias("complete"))
+    return error.withColumn("complete", cells.scalar())
+
+
+DPSW = freq.WindowSketch.sized(4000)
+
+
+@query("SELECT true AS enough, true AS never_under")
+def dpsw_window(spark: SparkSession, d: str) -> DataFrame:
+    """Without noise, no key of the pieces is counted under its number there, and the pieces cover four fifths of the window."""
+    ev = table(spark, d, "events").select("user_id", "event_id")
+    n = ev.count()
+    pieces = freq.WindowSketch.chosen(DPSW, n)
+    est = freq.WindowSketch.estimate(ev, "user_id", "event_id", DPSW)
+    inside = F.lit(False)
+    for a, b, _ in pieces:
+        inside = inside | F.col("place").between(a, b - 1)
+    true = memb.with_place(ev, "event_id").where(inside).groupBy("user_id").agg(F.count("*").alias("n"))
+    covered = sum(b - a for a, b, _ in pieces)
+    return true.join(est, "user_id", "left").agg(F.lit(covered >= 0.8 * min(n, DPSW["window"])).alias("enough"), F.bool_and(F.coalesce(F.col("estimate") >= F.col("n"), F.lit(False))).alias("never_under"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 499 PRECEDING AND CURRENT ROW) AS seen FROM events")
+def sliding_exact(spark: SparkSession, d: str) -> DataFrame:
+    return freq.sliding_counts(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 500).select("event_id", "seen")
+
+
+# Similarity
+
+SHINGLE_SQL = """
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS bag FROM w)"""
+
+
+@query(f"""
+WITH {SHINGLE_SQL},
+b AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, len(list_intersect(a.bag, b.bag)) AS x, len(a.bag) AS na, len(b.bag) AS nb FROM s a JOIN s b ON b.doc_id = a.doc_id + 1)
+SELECT doc_a, doc_b, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE x::DOUBLE / (na + nb - x) END, 5) AS jaccard FROM b""")
+def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
+    a, b = bags.select(F.col("doc_id").alias("doc_a"), F.col("bag").alias("x")), bags.select(F.col("doc_id").alias("doc_b"), F.col("bag").alias("y"))
+    union = F.size(F.array_union("x", "y"))
+    exact = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / union)
+    return a.join(b, F.col("doc_b") == F.col("doc_a") + 1).select("doc_a", "doc_b", F.round(exact, 5).alias("jaccard"))
+
+
+@query(f"""
+WITH {SHINGLE_SQL},
+t AS (SELECT doc_id, unnest(bag) AS t, len(bag) AS n FROM s),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b FROM x WHERE x >= 0.9 * (na + nb - x)""")
+def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs at a Jaccard of 0.9 or more: candidates of 42 bands of three rows, each verified."""
+    bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text").where(F.size("bag") > 0)
+    signed = bags.withColumn("signature", similarity.MinHash.signature(F.col("bag"), 126))
+    index = similarity.MinHashIndex.bands(signed, "doc_id", "signature", 42, 3)
+    pairs = similarity.MinHashIndex.pairs(index)
+    a, b = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("x")), bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("y"))
+    both = pairs.join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= 0.9 * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+@query("SELECT count(*) AS n, true AS close FROM documents WHERE doc_id % 2 = 0")
+def minhash_error(spark: SparkSession, d: str) -> DataFrame:
+    """The mean error of the signatures' similarity over neighbours is below two standard errors of 128 numbers."""
+    bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
+    bags = bags.withColumn("s", similarity.MinHash.signature(F.col("bag")))
+    a, b = (bags.where(F.col("doc_id") % 2 == x).select((F.col("doc_id") - x).alias("k"), F.col("bag").alias(f"x{x}"), F.col("s").alias(f"s{x}")) for x in (0, 1))
+    rows = a.join(b, "k", "left")
+    error = F.abs(similarity.MinHash.similarity(F.col("s0"), F.col("s1")) - similarity.jaccard(F.col("x0"), F.col("x1")))
+    return rows.agg(F.count("*").alias("n"), (F.avg(error) < 0.09).alias("close"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS term FROM documents),
+n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), h AS (SELECT doc_id, n, {words('term')} FROM n)
+SELECT doc_id, i::INT AS bit, sum(n * (2 * ((CASE WHEN i < 32 THEN lo ELSE hi END >> (i % 32)::INT) & 1) - 1))::BIGINT AS weight FROM h, {series(64)} GROUP BY ALL""")
+def simhash_weights(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, "documents").select("doc_id", F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "")).alias("term"))
+    return similarity.SimHash.build(terms, "term", {"hash": "md5"}, ("doc_id",)).cells
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS term FROM documents),
+n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), h AS (SELECT doc_id, n, {words('term')} FROM n),
+w AS (SELECT doc_id, i, sum(n * (2 * ((CASE WHEN i < 32 THEN lo ELSE hi END >> (i % 32)::INT) & 1) - 1)) > 0 AS up FROM h, {series(64)} GROUP BY ALL),
+s AS (SELECT doc_id, string_agg(CASE WHEN up THEN '1' ELSE '0' END, '' ORDER BY i DESC)::BIT AS s FROM w GROUP BY 1)
+SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.s, b.s))::INT AS distance FROM s a JOIN s b ON a.doc_id < b.doc_id AND bit_count(xor(a.s, b.s)) <= 3""")
+def simhash_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs at three or fewer differing bits, by four slices."""
+    terms = table(spark, d, "documents").select("doc_id", F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "")).alias("term"))
+    signed = similarity.SimHash.build(terms, "term", {"hash": "md5"}, ("doc_id",)).signature()
+    return similarity.SimHashIndex.pairs(similarity.SimHashIndex.bands(signed, "doc_id", "signature", 4), 3).select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
+@query("SELECT true AS counts_close, true AS jaccard_close")
+def setsketch_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    orders, spec = table(spark, d, "orders"), similarity.SetSketch.sized(m=1024)
+    sides = [orders.where(f"o_custkey % 3 <> {x}").select("o_custkey").distinct() for x in (0, 1)]
+    a, b = (similarity.SetSketch.build(s, "o_custkey", spec) for s in sides)
+    na, nb, both = sides[0].count(), sides[1].count(), sides[0].intersect(sides[1]).count()
+    true = both / max(na + nb - both, 1)
+    row = a.compare(b)
+    ok = lambda c, n: F.abs(F.col(c) - n) <= 0.16 * n + 1
+    return row.select((ok("n_a", na) & ok("n_b", nb)).alias("counts_close"), (F.abs(F.col("jaccard") - true) <= 0.1).alias("jaccard_close"))
+
+
+# Ranges
+
+
+@query("SELECT count(*) AS n_ranges, 0::BIGINT AS n_false_negative, true AS few_false FROM orders")
+def grafite_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of up to 64 around the keys hold one; of ranges far from all keys, few are said to."""
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    n, top = keys.agg(F.count("*"), F.max("k")).first()
+    made = rng.Grafite.build(keys, "k", rng.Grafite.sized(max(n, 1), 64, 0.01))
+    near = made.may_hold(keys.select((F.col("k") - F.col("k") % 32).alias("a"), (F.col("k") + F.col("k") % 31).alias("b")), "a", "b")
+    far = made.may_hold(keys.select((F.col("k") * 64 + (top or 0) * 1000).alias("a"), (F.col("k") * 64 + (top or 0) * 1000 + 63).alias("b")), "a", "b")
+    few = far.agg((F.count_if("may_hold") <= 0.03 * F.count("*") + 3).alias("few"))
+    return near.agg(F.count("*").alias("n_ranges"), F.count_if(~F.col("may_hold")).alias("n_false_negative")).withColumn("few_false", few.scalar())
+
+
+@query("SELECT count(*) AS n_ranges, 0::BIGINT AS n_false_negative FROM orders WHERE o_orderkey % 3 <> 0")
+def memento_range(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    made = rng.MementoFilter.build(keys, "k", "k", rng.MementoFilter.sized(64, 1024, 14)).remove(keys.where("k % 3 = 0"), "k")
+    asked = keys.where("k % 3 <> 0").select((F.col("k") - F.col("k") % 20).alias("a"), (F.col("k") + F.col("k") % 19).alias("b"))
+    return made.may_hold(asked, "a", "b").agg(F.count("*").alias("n_ranges"), F.count_if(~F.col("may_hold")).alias("n_false_negative"))
+
+
+# Samples and windows
+
+
+@query("SELECT least(200, count(*))::BIGINT AS n, round(sum(o_totalprice))::BIGINT AS total FROM orders")
+def varopt_total(spark: SparkSession, d: str) -> DataFrame:
+    sample = sampling.var_opt(table(spark, d, "orders"), "o_totalprice", 200, "o_orderkey")
+    return sample.agg(F.count("*").alias("n"), F.round(F.sum("adjusted")).cast("long").alias("total"))
+
+
+@query("SELECT true AS close")
+def varopt_subset(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    sample = sampling.var_opt(orders, "o_totalprice", 2000, "o_orderkey")
+    true = orders.where("o_orderstatus = 'F'").agg(F.sum("o_totalprice")).first()[0] or 0.0
+    total = orders.agg(F.sum("o_totalprice")).first()[0] or 0.0
+    return sampling.estimate_subset(sample, "o_orderstatus = 'F'").select((F.abs(F.col("weight") - true) <= 0.05 * total).alias("close"))
+
+
+@query("""
+WITH b AS (SELECT DISTINCT epoch_us(ts) // 3600000000 AS bucket, user_id FROM events)
+SELECT e.bucket, count(DISTINCT b.user_id) AS estimate FROM (SELECT DISTINCT bucket FROM b) e JOIN b ON b.bucket BETWEEN e.bucket - 23 AND e.bucket GROUP BY 1""")
+def sliding_window_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Users of the last 24 hours at the end of each hour, by Theta sketches of the hours (exact while small)."""
+    window = SlidingWindow(24 * 3600, 24)
+    ev = table(spark, d, "events").select("ts", "user_id")
+    hours = card.ThetaSketch.build(ev.withColumn("bucket", window.bucket(F.col("ts"))), "user_id", card.ThetaSketch.sized(4096), ("bucket",))
+    return window.merged(hours).count()
+
+
+@query(ddsketch_sql("(SELECT *, epoch_us(ts) // 86400000000 AS day FROM events)", "value", "day", [0.5]).replace("SELECT day, q, sign, bucket", "SELECT day, bucket"))
+def stream_windowed_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream: cells by day with a watermark, written out as Parquet, give the medians of the table."""
+    import uuid
+
+    from ..sources.folders import scratch
+    from ..streaming.sketches import windowed_cells
+
+    at = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    spec = DDSketch.sized(0.01)
+    cells = windowed_cells(events.withColumn("ts", F.col("ts").cast("timestamp")), DDSketch, "value", spec, "ts", "1 day", "1 day")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+
+    q = cells.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.read.parquet(f"{at}/out")
+    last = found.agg(F.max("batch")).first()[0]
+    cells = found.where(F.col("batch") == last).withColumn("day", F.floor(F.unix_micros("window.start") / 86_400_000_000).cast("long"))
+    return DDSketch(spec, cells.drop("batch", "window"), ("day",)).quantiles([0.5]).select("day", "bucket")
+
+
+@query(f"WITH h AS (SELECT o_orderstatus, {words('o_custkey')} FROM orders) SELECT o_orderstatus, lo >> 26 AS idx, max(27 - {bitlen('(lo & 67108863)')}) AS reg FROM h GROUP BY ALL")
+def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Registers by group, packed in envelopes and read back."""
+    made = card.HyperLogLog.build(table(spark, d, "orders"), "o_custkey", card.HyperLogLog.sized(64), ("o_orderstatus",))
+    return codec.unpack_groups(codec.pack_groups(made), card.HyperLogLog, made.by, made.spec, "idx long, reg int").cells.select("o_orderstatus", "idx", "reg")
+
+
