@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded): the ids as little-endian unsigned 32-bit integers, and their text."""
     path = bpe.vocabulary_path()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
-    return bpe.decode(ids, path, out="decoded").select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, decoded="decoded")
+    return ids.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

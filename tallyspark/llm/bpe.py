@@ -32,7 +32,7 @@ from .common import read, without
 
 LEAF = 256
 PART = 1 << 15
-CACHE = 150_000
+CACHE = 60_000
 #: Characters for which Python and the file's normaliser agree: printable ASCII, tab to carriage return, and Latin letters that NFC keeps and whose lower case is one character.
 PLAIN = re.compile("[\t-\r -~ -įı-ňŊ-ž]*")
 
@@ -69,7 +69,8 @@ class Bpe:
             spec = json.load(f)
         model = spec["model"]
         self.leaf = leaf
-        self.library = Tokenizer.from_file(path)
+        self.path = path
+        self.loaded: Tokenizer | None = None
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -85,6 +86,13 @@ class Bpe:
         self.strings = strings_of(spec)
         self.runs: dict[str, bytes] = {}
 
+    @property
+    def library(self) -> Tokenizer:
+        """The file's own library, for texts beyond PLAIN; read when the first of them comes."""
+        if self.loaded is None:
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
+
     # Pretokens to ids
 
     def first_symbols(self, word: str, last: bool = True) -> list[int]:
@@ -255,20 +263,22 @@ def strings(path: str) -> list[str | None]:
         return strings_of(json.load(f))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", part: int = PART) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", part: int = PART, decoded: str | None = None) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``out``: ids as little-endian unsigned 32-bit integers.
 
     A null text counts as empty and has no ids. Rows stay as many as they are; repeated rows have equal results. Texts
-    above ``part`` characters are encoded by parts in parallel; only these are shuffled.
+    above ``part`` characters are encoded by parts in parallel; only these are shuffled. ``decoded`` names a column for what
+    the ids decode to, made from the ids in the same pass.
     """
-    kept = [c for c in docs.columns if c.lower() not in (text.lower(), out.lower())]
+    kept = [c for c in docs.columns if c.lower() not in {text.lower(), out.lower(), (decoded or out).lower()}]
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     row_type = frame.schema["row"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode_bytes(t.as_py()) for t in b.column(1)], pa.binary())], names=["row", "ids"])
+            for part_ in (b.slice(i, 1000) for i in range(0, len(b), 1000)):
+                yield finished(bpe, part_.column(0), [bpe.encode_bytes(t.as_py()) for t in part_.column(1)])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
@@ -293,9 +303,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
         bpe = vocabulary(path)
         for b in batches:
             ids = [bpe.join_parts([(p["ends"], p["ids"]) for p in parts]) for parts in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(ids, pa.binary())], names=["row", "ids"])
+            yield finished(bpe, b.column("row"), ids)
+
+    def finished(bpe: Bpe, rows: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        cols, names = [rows, pa.array(ids, pa.binary())], ["row", "ids"]
+        if decoded:
+            cols.append(pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string()))
+            names.append("decoded")
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
-    done = f"row {row_type}, ids binary"
+    done = f"row {row_type}, ids binary" + ", decoded string" * bool(decoded)
     long = F.length("text") > part
     few = frame.where(~long).mapInArrow(short, done)
     keyed = frame.where(long).withColumn("key", F.sha2(F.concat_ws("\x00", F.to_json("row"), "text"), 256))
@@ -304,7 +321,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
     met = dealt.mapInArrow(leaf, f"row {row_type}, key string, at int, ends boolean, ids binary").groupBy("key", "at").agg(F.first("row").alias("row"), F.first("ends").alias("ends"), F.first("ids").alias("ids"), F.count("*").alias("n"))
     whole = met.groupBy("key").agg(F.first("row").alias("row"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "ends", "ids"))).alias("parts"))
     many = whole.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row", "parts").mapInArrow(whole_ids, done)
-    return few.unionAll(many).select("row.*", F.col("ids").alias(out))
+    return few.unionAll(many).select("row.*", F.col("ids").alias(out), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -326,6 +343,5 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    ids = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    both = decode(ids, path, out="decoded")
+    both = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

@@ -13,6 +13,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ FILTERS = 8
 #: Bound of the training sample: this many labelled rows of each class at most, taken by hash of their id.
 SAMPLE = 4000
 EPOCHS = 4
-CACHE = 200_000
+CACHE = 50_000
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|«»…-_"
 
 
@@ -240,10 +241,10 @@ def score(docs: DataFrame, model: Cnn, text: str = "text") -> DataFrame:
     base = without(docs, "score", "threshold", "rejected")
     sent = spark.sparkContext.broadcast(model)  # bounded: the table and the filters, 4 MB
 
-    @F.pandas_udf("double")
-    def scores(s):  # noqa: ANN001, ANN202
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
         made = sent.value
-        return s.map(made.score).astype("float64")
+        return pa.array([made.score(t.as_py()) for t in texts], pa.float64())
 
     limits = F.lit(0.5)
     if "lang" in base.columns:
