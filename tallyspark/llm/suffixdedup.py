@@ -122,8 +122,8 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.nda
     return ids
 
 
-def _press(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def _press(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def _open(raw: bytes) -> bytes:
@@ -137,13 +137,16 @@ def _ident(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Ascending identifiers of 48 bits: their steps, byte plane by byte plane, since the upper planes hold little."""
+    steps = np.diff(x.astype("<u8"), prepend=np.uint64(0))
+    return _press(np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
 
 
 def _from_six(raw: bytes) -> np.ndarray:
+    raw = _open(raw)
     out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _load(ids: pa.Scalar, sizes: pa.Scalar, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +209,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length
                 s = t.slice(a, z - a)
                 raw = b"".join(s.column("text").to_pylist())
                 one = lambda c, s=s: pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), c)
-                yield pa.RecordBatch.from_arrays([one(s.column("rest")), one(s.column("id")), one(pa.array(size[a:z])), pa.array([len(raw)]), pa.array([_press(raw)], pa.binary())], names=["rest", "ids", "sizes", "raw", "payload"])
+                yield pa.RecordBatch.from_arrays([one(s.column("rest")), one(s.column("id")), one(pa.array(size[a:z])), pa.array([len(raw)]), pa.array([_press(raw, 3)], pa.binary())], names=["rest", "ids", "sizes", "raw", "payload"])
 
     packed = frame.mapInArrow(pack, f"rest array<{rest_type}>, ids array<long>, sizes array<long>, raw long, payload binary")
     blocks = cut(packed.withColumn("b", F.monotonically_increasing_id()))
