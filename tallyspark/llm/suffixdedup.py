@@ -33,7 +33,7 @@ Q = 16
 BLOCK_BYTES = 4 << 20
 SEGMENT = 1 << 19
 #: Bytes of text whose anchors meet in one task.
-PART_BYTES = 32 << 20
+PART_BYTES = 12 << 20
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 S32, S29, S16 = np.uint64(32), np.uint64(29), np.uint64(16)
 
