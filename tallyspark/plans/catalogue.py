@@ -520,48 +520,52 @@ def sliding_exact(spark: SparkSession, d: str) -> DataFrame:
 
 SHINGLE_SQL = """
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS words FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS bag FROM w)"""
+p AS (SELECT doc_id, len(words) AS n, unnest(words) AS w, unnest(range(len(words))) AS pos FROM w),
+r AS (SELECT doc_id, n, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS t FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+t AS (SELECT DISTINCT doc_id, t FROM r WHERE t IS NOT NULL UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+c AS (SELECT doc_id, count(t) AS n FROM w LEFT JOIN t USING (doc_id) GROUP BY 1)"""
 
 
 @query(f"""
 WITH {SHINGLE_SQL},
-b AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, len(list_intersect(a.bag, b.bag)) AS x, len(a.bag) AS na, len(b.bag) AS nb FROM s a JOIN s b ON b.doc_id = a.doc_id + 1)
+x AS (SELECT a.doc_id AS doc_a, count(*) AS x FROM t a JOIN t b ON b.doc_id = a.doc_id + 1 AND a.t = b.t GROUP BY 1),
+b AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, coalesce(x, 0) AS x, a.n AS na, b.n AS nb FROM c a JOIN c b ON b.doc_id = a.doc_id + 1 LEFT JOIN x ON x.doc_a = a.doc_id)
 SELECT doc_a, doc_b, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE x::DOUBLE / (na + nb - x) END, 5) AS jaccard FROM b""")
 def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
     bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
-    a, b = bags.select(F.col("doc_id").alias("doc_a"), F.col("bag").alias("x")), bags.select(F.col("doc_id").alias("doc_b"), F.col("bag").alias("y"))
-    union = F.size(F.array_union("x", "y"))
-    exact = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / union)
-    return a.join(b, F.col("doc_b") == F.col("doc_a") + 1).select("doc_a", "doc_b", F.round(exact, 5).alias("jaccard"))
+    ids = bags.select(F.col("doc_id").alias("a"))
+    pairs = ids.join(ids.select(F.col("a").alias("b")), F.col("b") == F.col("a") + 1)
+    found = similarity.common_terms(pairs, bags, "doc_id", "bag")
+    exact = F.expr("case when n_a + n_b = 0 then 1.0D else n_common / (n_a + n_b - n_common) end")
+    return found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round(exact, 5).alias("jaccard"))
 
 
 @query(f"""
 WITH {SHINGLE_SQL},
-t AS (SELECT doc_id, unnest(bag) AS t, len(bag) AS n FROM s),
-x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b FROM x WHERE x >= 0.9 * (na + nb - x)""")
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE x >= 0.9 * (ca.n + cb.n - x)""")
 def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs at a Jaccard of 0.9 or more: candidates of 42 bands of three rows, each verified."""
+    """Pairs at a Jaccard of 0.9 or more: candidates of 18 bands of seven rows, each verified."""
     bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text").where(F.size("bag") > 0)
-    signed = bags.withColumn("signature", similarity.MinHash.signature(F.col("bag"), 126))
-    index = similarity.MinHashIndex.bands(signed, "doc_id", "signature", 42, 3)
+    signed = similarity.MinHash.signatures(bags, "doc_id", "bag", 126)
+    index = similarity.MinHashIndex.bands(signed, "doc_id", "signature", 18, 7)
     pairs = similarity.MinHashIndex.pairs(index)
-    a, b = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("x")), bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("y"))
-    both = pairs.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= 0.9 * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = similarity.common_terms(pairs, bags, "doc_id", "bag")
+    return found.where("n_common >= 0.9 * (n_a + n_b - n_common)").select("a", "b")
 
 
 @query("SELECT count(*) AS n, true AS close FROM documents WHERE doc_id % 2 = 0")
 def minhash_error(spark: SparkSession, d: str) -> DataFrame:
     """The mean error of the signatures' similarity over neighbours is below two standard errors of 128 numbers."""
     bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
-    bags = bags.withColumn("s", similarity.MinHash.signature(F.col("bag")))
-    a, b = (bags.where(F.col("doc_id") % 2 == x).select((F.col("doc_id") - x).alias("k"), F.col("bag").alias(f"x{x}"), F.col("s").alias(f"s{x}")) for x in (0, 1))
+    bags = bags.join(similarity.MinHash.signatures(bags, "doc_id", "bag", out="s"), "doc_id", "left")
+    a, b = (bags.where(F.col("doc_id") % 2 == x).select(F.col("doc_id").alias(n), (F.col("doc_id") - x).alias("k"), F.col("s").alias(f"s{x}")) for x, n in enumerate("ab"))
     rows = a.join(b, "k", "left")
-    error = F.abs(similarity.MinHash.similarity(F.col("s0"), F.col("s1")) - similarity.jaccard(F.col("x0"), F.col("x1")))
-    return rows.agg(F.count("*").alias("n"), (F.avg(error) < 0.09).alias("close"))
+    true = similarity.common_terms(rows.select("a", "b").where("b is not null"), bags.drop("s"), "doc_id", "bag")
+    rows = rows.join(true, ["a", "b"], "left")
+    exact = F.col("n_common") / F.greatest(F.col("n_a") + F.col("n_b") - F.col("n_common"), F.lit(1))
+    error = F.abs(similarity.MinHash.similarity(F.col("s0"), F.col("s1")) - exact)
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(error) < 0.09, F.lit(True)).alias("close"))
 
 
 @query(f"""
