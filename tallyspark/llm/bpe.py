@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ from .common import read, without
 
 LEAF = 256
 PART = 1 << 15
-CACHE = 60_000
+#: Entries of a young cache; when it is full it becomes the old one.
+CACHE = 120_000
 #: Characters for which Python and the file's normaliser agree: printable ASCII, tab to carriage return, and Latin letters that NFC keeps and whose lower case is one character.
 PLAIN = re.compile("[\t-\r -~ -įı-ňŊ-ž]*")
 
@@ -71,6 +73,7 @@ class Bpe:
         self.leaf = leaf
         self.path = path
         self.loaded: Tokenizer | None = None
+        self.merger = None
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -85,14 +88,23 @@ class Bpe:
         self.symbols = byte_symbols()
         self.strings = strings_of(spec)
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     @property
     def library(self) -> Tokenizer:
-        """The file's own library, for texts beyond PLAIN; read when the first of them comes."""
+        """The file's own library: normaliser and splitter of texts beyond PLAIN, and merges of short pretokens."""
         if self.loaded is None:
             self.loaded = Tokenizer.from_file(self.path)
         return self.loaded
 
+    @property
+    def model(self):  # noqa: ANN202
+        if self.merger is None:
+            self.merger = self.library.model
+        return self.merger
+
     # Pretokens to ids
 
     def first_symbols(self, word: str, last: bool = True) -> list[int]:
@@ -156,13 +168,30 @@ class Bpe:
 
     def run(self, chars: str) -> bytes:
         """Ids of a run without white space; pretokens don't go beyond one."""
-        found = b"".join([np.array(self.tree(self.first_symbols(w)), "<u4").tobytes() for w in self.pretokens(chars)])
+        found = self.old_runs.get(chars)
+        if found is None:
+            found = b"".join([self.words.get(w) or self.word(w) for w in self.pretokens(chars)])
         if len(self.runs) >= CACHE:
-            self.runs.clear()
+            self.old_runs, self.runs = self.runs, {}
         if len(chars) <= 64:
             self.runs[chars] = found
         return found
 
+    def word(self, word: str) -> bytes:
+        found = self.old_words.get(word)
+        if found is None:
+            symbols = "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
+            if len(symbols) <= self.leaf:  # a leaf of its own: the library's merges are the same and faster
+                ids = [t.id for t in self.model.tokenize(symbols)]
+            else:
+                ids = self.tree(self.first_symbols(word))
+            found = pack(f"<{len(ids)}I", *ids)
+        if len(self.words) >= CACHE // 2:
+            self.old_words, self.words = self.words, {}
+        if len(word) <= 64:
+            self.words[word] = found
+        return found
+
     # Texts to pretokens
 
     def normal_runs(self, text: str) -> list[str]:
