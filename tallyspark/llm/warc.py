@@ -1,6 +1,6 @@
 """WARC archives of individually compressed records behind a Zstandard dictionary.
 
-An archive is one ``.txt`` part that Spark's own committer writes: a skippable frame (magic 0x184D2A5D) with a dictionary
+An archive is one part that Spark's own committer writes: a skippable frame (magic 0x184D2A5D) with a dictionary
 built from records of that archive, then one Zstandard frame for each record. Between two of them stands Spark's line
 separator, which is set to an empty skippable frame, so the whole file is a valid Zstandard stream. Equal payloads of
 at least ``least`` bytes are stored once, under the smallest page id; the others are revisit records.
@@ -12,6 +12,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 import zstandard
@@ -26,7 +27,8 @@ SALTS = 32
 #: The dictionary is built from the first records of an archive, this many bytes of them at most.
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
-ARCHIVE_BYTES = 32 << 20
+#: Frames of an archive, its dictionary among them; then the next file begins.
+ARCHIVE_FRAMES = 2048
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
@@ -60,16 +62,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
-def _frames(records: Iterator[bytes], level: int) -> Iterator[bytes]:
-    """The dictionary's frame, then a frame for each record; holds the sample and no more."""
+def _frames(records: Iterator[bytes], level: int, frames: int) -> Iterator[bytes]:
+    """Archive after archive of ``frames`` frames: that of the dictionary, then one for each record."""
+    while True:
+        own = islice(records, frames - 1)
+        first = next(own, None)
+        if first is None:
+            return
+        yield from _archive(chain([first], own), level)
+
+
+def _archive(records: Iterator[bytes], level: int) -> Iterator[bytes]:
+    """Holds the sample and no more."""
     held, size = [], 0
     for r in records:
         held.append(r)
         size += len(r)
         if size >= SAMPLE_BYTES:
             break
-    if not held:
-        return
     made = build_dictionary(held)
     raw = made.as_bytes()
     yield struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
@@ -130,7 +140,7 @@ def with_refers(pages: DataFrame, least: int) -> DataFrame:
     return p.join(many, ["digest", "salt"]).where("page_id > refers_to").select("page_id", "digest", "refers_to", "refers_url").distinct()
 
 
-def write(pages: DataFrame, folder: str, least: int = 100, level: int = 3, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write(pages: DataFrame, folder: str, least: int = 100, level: int = 3, date: str = "2024-01-01T00:00:00Z", frames: int = ARCHIVE_FRAMES) -> None:
     """Archives of ``pages`` (page_id, url, html; other columns are not stored) in ``folder``.
 
     A null html is an empty payload, a null url an empty one. Rows of a null page_id are responses. Rows that repeat a
@@ -138,17 +148,15 @@ def write(pages: DataFrame, folder: str, least: int = 100, level: int = 3, date:
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    total = p.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    n = 1 + total // archive_bytes
     refs = with_refers(p, least).select("page_id", F.col("digest").alias("d"), "refers_to", "refers_url")
-    refs = refs.withColumnRenamed("page_id", "rid").repartition(n, "rid", "d")
-    both = p.repartition(n, "page_id", "digest").join(refs, (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("d")), "left")
+    # The one shuffle of pages is the join's, by page and not by payload; none if Spark finds the repeats small enough to broadcast.
+    both = p.join(refs.withColumnRenamed("page_id", "rid"), (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("d")), "left")
     both = both.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "refers_to", "refers_url")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (record(*[c[i].as_py() for c in b.columns], date) for b in batches for i in range(len(b)))
         held, size = [], 0
-        for f in _frames(records, level):
+        for f in _frames(records, level, frames):
             held.append(f)
             size += len(f)
             if size >= 1 << 22:
@@ -157,8 +165,8 @@ def write(pages: DataFrame, folder: str, least: int = 100, level: int = 3, date:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
 
-    frames = both.mapInArrow(archive, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.mode("errorifexists").option("lineSep", SEPARATOR.decode("ascii")).text(folder)
+    found = both.mapInArrow(archive, "frame binary")
+    found.select(F.col("frame").cast("string").alias("value")).write.mode("errorifexists").option("maxRecordsPerFile", frames).option("lineSep", SEPARATOR.decode("ascii")).text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
