@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import read, without
+from .common import lean, read, released, without
 
 LEAF = 256
 PART = 1 << 15
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
     the ids decode to, made from the ids in the same pass.
     """
     kept = [c for c in docs.columns if c.lower() not in {text.lower(), out.lower(), (decoded or out).lower()}]
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    frame = lean(docs).select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     row_type = frame.schema["row"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,13 +343,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
 
     done = f"row {row_type}, ids binary" + ", decoded string" * bool(decoded)
     long = F.length("text") > part
-    few = frame.where(~long).mapInArrow(short, done)
+    few = frame.where(~long).mapInArrow(released(short), done)
     keyed = frame.where(long).withColumn("key", F.sha2(F.concat_ws("\x00", F.to_json("row"), "text"), 256))
-    dealt = keyed.mapInArrow(split, f"row {row_type}, key string, at int, ends boolean, words string, ids binary").repartition("key", "at")
+    dealt = keyed.mapInArrow(released(split), f"row {row_type}, key string, at int, ends boolean, words string, ids binary").repartition("key", "at")
     # Equal rows have equal keys; each part then comes as many times as the row does.
-    met = dealt.mapInArrow(leaf, f"row {row_type}, key string, at int, ends boolean, ids binary").groupBy("key", "at").agg(F.first("row").alias("row"), F.first("ends").alias("ends"), F.first("ids").alias("ids"), F.count("*").alias("n"))
+    met = dealt.mapInArrow(released(leaf), f"row {row_type}, key string, at int, ends boolean, ids binary").groupBy("key", "at").agg(F.first("row").alias("row"), F.first("ends").alias("ends"), F.first("ids").alias("ids"), F.count("*").alias("n"))
     whole = met.groupBy("key").agg(F.first("row").alias("row"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "ends", "ids"))).alias("parts"))
-    many = whole.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row", "parts").mapInArrow(whole_ids, done)
+    many = whole.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row", "parts").mapInArrow(released(whole_ids), done)
     return few.unionAll(many).select("row.*", F.col("ids").alias(out), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read, released
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -224,7 +224,7 @@ def extract(pages: DataFrame, source: str = "html", out: str = "text") -> DataFr
             texts = pa.array([main_text(x.as_py()) for x in b.column(b.num_columns - 1)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*kept, out])
 
-    return df.mapInArrow(add, df.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias(out)).schema)
+    return lean(df).mapInArrow(released(add), df.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias(out)).schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

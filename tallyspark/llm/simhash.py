@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read, without
+from .common import components, cut, lean, read, released, without
 
 HALF = 0xFFFFFFFF
 CHUNK = 1 << 15
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*kept, out])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias(out)).schema
-    return frame.mapInArrow(add, schema)
+    return lean(frame).mapInArrow(released(add), schema)
 
 
 def _halves(fp: Column) -> list[tuple[int, Column, Column]]:

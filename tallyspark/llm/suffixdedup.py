@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, lean, read, released
 
 LENGTH = 50
 Q = 16
@@ -211,7 +211,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length
                 one = lambda c, s=s: pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), c)
                 yield pa.RecordBatch.from_arrays([one(s.column("rest")), one(s.column("id")), one(pa.array(size[a:z])), pa.array([len(raw)]), pa.array([_press(raw, 3)], pa.binary())], names=["rest", "ids", "sizes", "raw", "payload"])
 
-    packed = frame.mapInArrow(pack, f"rest array<{rest_type}>, ids array<long>, sizes array<long>, raw long, payload binary")
+    packed = lean(frame).mapInArrow(released(pack), f"rest array<{rest_type}>, ids array<long>, sizes array<long>, raw long, payload binary")
     blocks = cut(packed.withColumn("b", F.monotonically_increasing_id()))
     total = blocks.agg(F.sum("raw")).first()[0] or 0
     parts = int(min(65536, max(8, total // part_bytes + 1)))
@@ -321,15 +321,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length
                 yield pa.RecordBatch.from_arrays([rows, pa.array(ends - begin), pa.array(total[ends] - total[begin]), pa.array(spans[ends] - spans[begin]), pa.array(left, pa.binary())], names=["rest", "n_bytes", "n_removed", "n_spans", "kept"])
 
     tasks = int(max(8, total // part_bytes + 1))
-    proposed = blocks.select("b", "ids", "sizes", "payload").mapInArrow(propose, "p long, b long, anchors binary, many binary")
-    found = proposed.repartition(parts, "p").mapInArrow(shared, "b long, p long, anchors binary")
+    proposed = blocks.select("b", "ids", "sizes", "payload").mapInArrow(released(propose), "p long, b long, anchors binary, many binary")
+    found = proposed.repartition(parts, "p").mapInArrow(released(shared), "b long, p long, anchors binary")
     found = found.groupBy("b").agg(F.collect_list(F.struct("p", "anchors")).alias("found"))
     dealt = blocks.select("b", "rest", "ids", "sizes", "payload").repartition(tasks, "b")  # shuffled once, read twice
     near = dealt.join(found.repartition(tasks, "b").hint("shuffle_hash"), "b").select("b", "rest", "ids", "sizes", "payload", "found")
-    told = near.mapInArrow(surround, "p long, b long, n long, data binary").repartition(parts, "p").mapInArrow(judge, "b long, data binary")
+    told = near.mapInArrow(released(surround), "p long, b long, n long, data binary").repartition(parts, "p").mapInArrow(released(judge), "b long, data binary")
     told = told.groupBy("b").agg(F.collect_list("data").alias("told")).repartition(tasks, "b")
     out = dealt.join(told.hint("shuffle_hash"), "b", "left").select("b", "rest", "ids", "sizes", "payload", "told")
-    return out.mapInArrow(keep, f"rest {rest_type}, n_bytes long, n_removed long, n_spans long, kept binary").select("rest.*", *new)
+    return out.mapInArrow(released(keep), f"rest {rest_type}, n_bytes long, n_removed long, n_spans long, kept binary").select("rest.*", *new)
 
 
 def _slices(group: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -10,6 +10,7 @@ language beside the score.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, without
+from .common import lean, read, released, without
 
 TABLE = 1 << 16
 DIM = 8
@@ -55,6 +56,10 @@ class Cnn:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_places"} | {"_rows": {}, "_cells": None}
 
+    def forget(self) -> None:
+        """Drop what was kept of the words."""
+        self._rows, self._cells = {}, None
+
     def _learn(self, words: list[str]) -> None:
         """Add the products of new words with all filters; row 0 is the padding."""
         if self._cells is None:
@@ -241,16 +246,20 @@ def score(docs: DataFrame, model: Cnn, text: str = "text") -> DataFrame:
     base = without(docs, "score", "threshold", "rejected")
     sent = spark.sparkContext.broadcast(model)  # bounded: the table and the filters, 4 MB
 
-    @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
+    names = base.columns
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = sent.value
-        return pa.array([made.score(t.as_py()) for t in texts], pa.float64())
+        for b in batches:
+            found = pa.array([made.score(t.as_py()) for t in b.column(names.index(text))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*names, "score"])
+        made.forget()
 
     limits = F.lit(0.5)
     if "lang" in base.columns:
         for lang, x in model.thresholds.items():
             limits = F.when(F.col("lang") == lang, F.lit(x)).otherwise(limits)
-    out = base.withColumn("score", scores(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))).withColumn("threshold", limits)
+    out = lean(base).mapInArrow(released(scores), base.withColumn("score", F.lit(0.5)).schema).withColumn("threshold", limits)
     return out.withColumn("rejected", F.col("score") >= F.col("threshold"))
 
 
