@@ -140,10 +140,6 @@ class CountingBloomFilter(Sketch):
         guards.within("bits", bits, 1, 8)
         return BloomFilter.sized(n, fp_rate, hash_name) | {"top": (1 << bits) - 1}
 
-    @classmethod
-    def fold(cls, rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-        return super().fold(rows, by)
-
     @classmethod
     def build(cls, df: DataFrame, key: str, spec: dict, by: tuple[str, ...] = ()) -> CountingBloomFilter:
         rows = BloomFilter.hashed(df, key, spec).select(*by, F.explode("__p").alias("pos"))
@@ -322,7 +318,7 @@ def with_place(df: DataFrame, order: str, name: str = "place", rows: int = 100_0
     rows_ = df.withColumn("__range", bucket)
     sums = rows_.groupBy("__range").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     within = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
-    return rows_.withColumn("__n", within).join(F.broadcast(sums), "__range").withColumn(name, (F.col("__n") + F.col("__before")).cast("long")).drop("__n", "__before", "__range")
+    return rows_.withColumn("__n", within).join(sums, "__range").withColumn(name, (F.col("__n") + F.col("__before")).cast("long")).drop("__n", "__before", "__range")
 
 
 class InverseBloomFilter:
