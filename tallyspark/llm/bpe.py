@@ -20,7 +20,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 from struct import pack
 
 import numpy as np
@@ -292,6 +292,17 @@ def strings(path: str) -> list[str | None]:
         return strings_of(json.load(f))
 
 
+def forgetting(f):  # noqa: ANN001, ANN201
+    """A function over batches that drops the vocabulary at the end of its task, as idle workers would keep it."""
+
+    @wraps(f)
+    def run(batches):  # noqa: ANN001, ANN202
+        yield from f(batches)
+        vocabulary.cache_clear()
+
+    return released(run)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", part: int = PART, decoded: str | None = None) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``out``: ids as little-endian unsigned 32-bit integers.
 
@@ -343,13 +354,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", par
 
     done = f"row {row_type}, ids binary" + ", decoded string" * bool(decoded)
     long = F.length("text") > part
-    few = frame.where(~long).mapInArrow(released(short), done)
+    few = frame.where(~long).mapInArrow(forgetting(short), done)
     keyed = frame.where(long).withColumn("key", F.sha2(F.concat_ws("\x00", F.to_json("row"), "text"), 256))
-    dealt = keyed.mapInArrow(released(split), f"row {row_type}, key string, at int, ends boolean, words string, ids binary").repartition("key", "at")
+    dealt = keyed.mapInArrow(forgetting(split), f"row {row_type}, key string, at int, ends boolean, words string, ids binary").repartition("key", "at")
     # Equal rows have equal keys; each part then comes as many times as the row does.
-    met = dealt.mapInArrow(released(leaf), f"row {row_type}, key string, at int, ends boolean, ids binary").groupBy("key", "at").agg(F.first("row").alias("row"), F.first("ends").alias("ends"), F.first("ids").alias("ids"), F.count("*").alias("n"))
+    met = dealt.mapInArrow(forgetting(leaf), f"row {row_type}, key string, at int, ends boolean, ids binary").groupBy("key", "at").agg(F.first("row").alias("row"), F.first("ends").alias("ends"), F.first("ids").alias("ids"), F.count("*").alias("n"))
     whole = met.groupBy("key").agg(F.first("row").alias("row"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "ends", "ids"))).alias("parts"))
-    many = whole.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row", "parts").mapInArrow(released(whole_ids), done)
+    many = whole.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row", "parts").mapInArrow(forgetting(whole_ids), done)
     return few.unionAll(many).select("row.*", F.col("ids").alias(out), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
