@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import neardup
 from .common import components, cut, lean, read, released, without
 
 HALF = 0xFFFFFFFF
@@ -138,10 +139,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = 3, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of several rows of that id one. Rows of a null id stay."""
-    groups = near_duplicates(docs, id_col, text, bits, words)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Of each group of rows that pairs at a Jaccard of ``similarity`` or more join, the one of the smallest id; of several
+    rows of that id one. Rows of a null id stay. Not by fingerprints: at 0.8 they differ in any number of bits."""
+    rows = neardup.grouped(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")), "text", similarity, words)
+    first = rows.groupBy("root").agg(F.min("__id").alias("__id")).select("__id").distinct()
     some = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
     return some.unionByName(docs.where(F.col(id_col).isNull()))
 

@@ -247,6 +247,60 @@ def test_simhash_groups(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).isEmpty()
 
 
+def plain_groups(texts, similarity=0.8, words=5):
+    """A root for each text, by all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(len(w) - words, 0) + 1)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if (both * 10 >= similarity * 10 * (len(x) + len(sets[j]) - both)) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def planted_copies():
+    """Texts with copies of one to eight words changed in 150, a chain of copies, many copies of one text, and short texts."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(5000)}"
+
+    def copy(w, changes):
+        w = list(w)
+        for i in r.sample(range(len(w)), changes):
+            w[i] = word()
+        return w
+
+    made = []
+    for k in range(60):
+        base = [word() for _ in range(150)]
+        made += [base, copy(base, 1 + k % 8), copy(base, 3)]
+    chain = [word() for _ in range(150)]
+    for _ in range(12):
+        made.append(chain := copy(chain, 2))
+    base = [word() for _ in range(200)]
+    made += [copy(base, 1 + k % 4) for k in range(90)]
+    texts = [" ".join(w) for w in made] + ["a b c", "A b\tc", "a b", "", None]
+    return r.sample(texts, len(texts))
+
+
+def test_near_copies_equal_brute_force(spark):
+    texts = planted_copies()
+    want = plain_groups(texts)
+    assert 60 < len(set(want)) < len(texts) - 90
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(want))
+    assert simhash.one_of_each(df.limit(0)).isEmpty()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 200)] + [(300, 300)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
