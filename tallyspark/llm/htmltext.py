@@ -5,7 +5,8 @@ density is characters per tag, scaled by the logarithm of how few of both are li
 sum of its children's densities. The subtree of the largest sum is the main one; the least density on its path up to
 the body is the threshold, and every part of the body at or above the threshold gives its own densest subtree too.
 Before the measure, parts that can't be the article (scripts, forms, menus, footers, adverts, comments and the
-like, told by tag, role or class) are taken out. If the main subtree lies in an article or main element, that element
+like, told by tag, role or class) are taken out. A class or id may also tell of a layout round the article, so a part
+told by name alone stays if the page's articles are in it or, its name being a compound, most of the text. If the main subtree lies in an article or main element, that element
 is the article.
 """
 
@@ -43,6 +44,7 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.out = ["#page"], [-1], [False]
+        self.named: dict[int, bool] = {}  # nodes told by name; whether most of the text in them would keep them
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
         stack, open_ = [0], {}
@@ -77,7 +79,10 @@ class Page:
                 continue
             if attributes.endswith("/") and name in {"svg", "path", "use"}:
                 continue
-            node = self.node(name, stack[-1], self.out[stack[-1]] or self.foreign(name, attributes, stack))
+            found = self.foreign(name, attributes, stack)
+            node = self.node(name, stack[-1], self.out[stack[-1]] or found is True)
+            if found in ("name", "compound") and not self.out[node]:
+                self.named[node] = found == "compound"
             if name in RAW:
                 shut = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(source, at)
                 if not self.out[node]:
@@ -86,6 +91,33 @@ class Page:
                 continue
             stack.append(node)
             open_[name] = open_.get(name, 0) + 1
+        if self.named:
+            self.drop_named()
+
+    def drop_named(self) -> None:
+        """Take out what is told by name, but not the layout round the article."""
+        n = len(self.tag)
+        in_link, in_named, body = [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            in_link[i] = self.tag[i] == "a" or in_link[p]
+            in_named[i] = i in self.named or in_named[p]
+            body[i] = self.tag[i] == "body" or body[p]
+        articles = [self.tag[i] in ("article", "main") and not self.out[i] and i not in self.named for i in range(n)]
+        outside = any(articles[i] and not in_named[i] for i in range(n))
+        size = [0] * n
+        for node, _, text in self.texts:
+            if not in_link[node]:
+                size[node] += len("".join(text.split()))
+        total = sum(size[i] for i in range(n) if body[i]) or sum(size)
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            articles[self.parent[i]] |= articles[i]
+        for i in range(1, n):
+            if i in self.named:
+                self.out[i] |= not (articles[i] and not outside or self.named[i] and size[i] * 2 > total)
+            self.out[i] |= self.out[self.parent[i]]
+        self.texts = [t for t in self.texts if not self.out[t[0]]]
 
     def node(self, tag: str, parent: int, out: bool) -> int:
         self.tag.append(tag)
@@ -109,7 +141,9 @@ class Page:
                 del stack[i:]
                 return
 
-    def foreign(self, name: str, attributes: str, stack: list[int]) -> bool:
+    def foreign(self, name: str, attributes: str, stack: list[int]) -> bool | str:
+        """True: never part of the article. By name alone: "compound" if each telling word is one part of a longer name and
+        none tells of comments, else "name"."""
         if name in OUT:
             return True
         if name == "header":
@@ -121,13 +155,16 @@ class Page:
             return True
         if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
             return True
+        told = False
         for word in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
             parts = re.split(r"[-_]+", word)
             if parts[0] in ("has", "with", "no", "without"):
                 continue
             if not NAMES.isdisjoint(parts) and (name not in KEEP or "comment" in parts or "comments" in parts):
-                return True
-        return False
+                if len(parts) == 1 or "comment" in parts or "comments" in parts:
+                    return "name"
+                told = "compound"
+        return told
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite density and density sum by node."""

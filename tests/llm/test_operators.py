@@ -215,6 +215,20 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<body><div class="layout-sidebar-right"><article><p>one long text here</article><div class="sidebar">no</div></div></body>', "one long text here"),
+    ('<body><div id="content-with-sidebar"><main><p>one long text here</main></div><div class="site-footer">f</div></body>', "one long text here"),
+    ('<body><div class="sidebar"><div class="page_nav_wrap"><article>a b</article></div></div></body>', "a b"),
+    ('<body><div class="content-sidebar"><p>one long text here, longer than the rest<p>and more</div><div class="page-footer">f</div></body>', "one long text here, longer than the rest\nand more"),
+    ("<body><article>short</article><div class='post-comments'><p>a much longer comment than the article is</div></body>", "short"),
+    ("<body><article>text of it</article><div class='related-posts'><article>card</article></div></body>", "text of it"),
+    ("<body><section><p>short text</section><div class='comments'><article class=comment>a much longer comment</article></div></body>", "short text"),
+    ("<body><section><p>the text itself</section><div class=sidebar>longer than the text is, by far</div></body>", "the text itself"),
+])
+def test_main_text_in_layouts(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_main_text_keeps_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (None, None, None)], "page_id long, html string, text string")
     assert sorted(r["text"] for r in htmltext.extract(df).collect()) == ["", "a", "a"]
