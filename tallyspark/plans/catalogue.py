@@ -554,6 +554,19 @@ def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.where("n_common >= 0.9 * (n_a + n_b - n_common)").select("a", "b")
 
 
+@query(f"""
+WITH {SHINGLE_SQL},
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE x >= 0.8 * (ca.n + cb.n - x)""")
+def minhash_pairs_80(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs at a Jaccard of 0.8 or more: candidates of 42 bands of three rows, which miss one in 10^12 of them, each verified."""
+    bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
+    signed = similarity.MinHash.signatures(bags, "doc_id", "bag", 126)
+    pairs = similarity.MinHashIndex.pairs(similarity.MinHashIndex.bands(signed, "doc_id", "signature", 42, 3))
+    found = similarity.common_terms(pairs, bags, "doc_id", "bag")
+    return found.where("n_common >= 0.8 * (n_a + n_b - n_common)").select("a", "b")
+
+
 @query("SELECT count(*) AS n, true AS close FROM documents WHERE doc_id % 2 = 0")
 def minhash_error(spark: SparkSession, d: str) -> DataFrame:
     """The mean error of the signatures' similarity over neighbours is below two standard errors of 128 numbers."""

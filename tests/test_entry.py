@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -32,6 +33,23 @@ def test_query_equals_sql(spark, name):
     assert got == rows_of(con.sql(f"select {quoted} from ({catalogue.ORACLE[name]})").fetchall())
 
 
+def test_pairs_between_08_and_09(spark, tmp_path):
+    r = random.Random(3)
+    rows = []
+    for k in range(40):
+        words = [f"w{r.randrange(9000)}" for _ in range(150)]
+        rows.append((2 * k, " ".join(words)))
+        for i in range(1 + k % 5):
+            words[10 + 30 * i] = "x"
+        rows.append((2 * k + 1, " ".join(words)))
+    bags = [{tuple(t.split()[i : i + 5]) for i in range(146)} for _, t in rows]
+    of = {(i, j): len(bags[i] & bags[j]) / len(bags[i] | bags[j]) for j in range(len(rows)) for i in range(j)}
+    want = {p for p, s in of.items() if s >= 0.8}
+    assert sum(of[p] < 0.9 for p in want) >= 8
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(x) for x in entry.queries()["minhash_pairs_80"](spark, str(tmp_path)).select("a", "b").collect()} == want
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).columns == ["event_type", "q", "sign", "bucket"]
