@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (a Jaccard of 0.8 or more of five-word shingles) the document of the smallest id stays.
-    Rows of a null id stay; of rows that are equal one stays."""
+    Different texts under one id are judged each on its own. Rows of a null id stay; of rows that are equal one stays."""
     return simhash.one_of_each(docs).select(*COLUMNS)
 
 

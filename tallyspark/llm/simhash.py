@@ -140,12 +140,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """Of each group of rows that pairs at a Jaccard of ``similarity`` or more join, the one of the smallest id; of several
-    rows of that id one. Rows of a null id stay. Not by fingerprints: at 0.8 they differ in any number of bits."""
-    rows = neardup.grouped(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")), "text", similarity, words)
-    first = rows.groupBy("root").agg(F.min("__id").alias("__id")).select("__id").distinct()
-    some = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return some.unionByName(docs.where(F.col(id_col).isNull()))
+    """Of each group of rows that pairs at a Jaccard of ``similarity`` or more join, the first one by id, then by the hashes
+    of its text and of the whole row; of rows that are equal one. Rows of a null id stay. Not by fingerprints: at 0.8 they
+    differ in any number of bits."""
+    mark = docs.withColumn("__id", F.col(id_col)).withColumn("__text", F.xxhash64(text)).withColumn("__row", F.xxhash64(*docs.columns))
+    rows = neardup.grouped(mark.select("__id", "__text", "__row", F.col(text).alias("text")), "text", similarity, words)
+    place = F.struct("__id", "__text", "__row")
+    first = rows.where("__id is not null").groupBy("root").agg(F.min(place).alias("first")).select("first.*")
+    some = mark.join(first, ["__id", "__text", "__row"], "left_semi").dropDuplicates(["__id", "__text", "__row"])
+    return some.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

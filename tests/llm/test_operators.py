@@ -315,6 +315,15 @@ def test_near_copies_equal_brute_force(spark):
     assert simhash.one_of_each(df.limit(0)).isEmpty()
 
 
+def test_near_copies_under_one_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(1, a, "s1"), (1, b, "s1"), (1, b, "s1"), (2, b + " more", "s1"), (3, a, "s2"), (4, "c d", "s2"), (4, "c d", "s1"), (None, a, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [[tuple(r) for r in simhash.one_of_each(x).collect()] for x in (df, df.repartition(3).orderBy(F.desc("text"), "source"))]
+    assert rows_of(got[0]) == rows_of(got[1])
+    assert {r[:2] for r in got[0]} == {(1, a), (1, b), (4, "c d"), (None, a)} and len(got[0]) == 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 200)] + [(300, 300)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
