@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: lineage cuts, column handling, connected components."""
+"""Shared pieces of the training-data operators: lineage cuts, scratch tables, column handling, connected components."""
 
 from __future__ import annotations
 
@@ -6,38 +6,77 @@ import contextlib
 import ctypes
 import functools
 import gc
+import itertools
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and go on from the copy.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is read from the session; only where it is unset (tests, a laptop) a local one is made.
+    Only a session on one machine may leave it unset; it gets a folder of its own then. On a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyspark-"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tallyspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the copy; Spark's cleaner removes it when nothing refers to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    cut(spark.range(1))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables of one call in the shared folder. They are read from their files, so Spark plans with their true sizes."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.numbers = itertools.count()
+
+    def __enter__(self) -> Scratch:
+        return self
 
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.folder)
 
-BATCH_ROWS = 1000
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{next(self.numbers)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in {name.rpartition("/")[0] for t in tables for name in t.inputFiles()}:
+            remove(self.spark, name)
+
+
+BATCH_BYTES = 4 << 20
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """Let batches to and from Python hold no more than BATCH_ROWS texts; a smaller setting of the session's stays."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Let batches to Python hold no more than BATCH_BYTES (or one row); a smaller bound of the session's stays.
+
+    The bound is a setting of the session, which is only ever lowered: it changes how rows travel, not what they are.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(key)).removesuffix("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 
@@ -55,12 +94,37 @@ def released(f):  # noqa: ANN001, ANN201
     return run
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key, one table after the other, from batches that are sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        columns = [b.column(k).to_pylist() for k in keys]
+        at = 0
+        for i, key in enumerate(zip(*columns, strict=True)):
+            if key != last:
+                if i > at:
+                    held.append(b.slice(at, i - at))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, at, last = [], i, key
+        if b.num_rows > at:
+            held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns an operator is about to add (names compare without case, as Spark's do)."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def row_of(df: DataFrame, *names: str) -> Column:
+    """The columns of ``df`` but ``names`` in one struct, so that no name of theirs can meet one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in without(df, *names).columns]).alias("row")
+
+
 def text_of(col: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
@@ -70,28 +134,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the edge list (a, b): rows (node, root) for every node that has an edge.
+def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """Connected components of the edge list (a, b): rows (node, root) for every node that has an edge to another.
 
-    Each round hooks every node to its smallest neighbour, jumps two pointers and contracts the edges, so the
-    number of rounds grows with the logarithm of the longest chain. Root is the smallest node of the component.
-    Every join has a shuffle of a checkpointed or joined table on each side, so AQE can split hot nodes.
+    The root is one node of the component. In each round every node hooks to the neighbour whose hash is the smallest, if that is
+    smaller than its own; two jumps shorten the paths, and the edges are contracted. In the order of a hash at
+    least half of the nodes hook, however ids run along a chain, so rounds grow with the logarithm of the
+    component. Each round works on tables read from files: estimates of sizes start anew, and as both sides of each
+    join are shuffled or broadcast by size, AQE can split hot nodes. ``rounds`` gets the number of edges of each round.
     """
-    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    maps: list[DataFrame] = []
-    while not e.isEmpty():
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        hook = cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
-        up = hook.select(F.col("u").alias("q"), F.col("p").alias("p2"))
-        jumped = hook.join(up, F.col("p") == F.col("q")).select("u", F.col("p2").alias("p"))
-        hook = cut(jumped.join(up, F.col("p") == F.col("q")).select("u", F.col("p2").alias("p")))
-        maps.append(hook)
-        fa, fb = (hook.select(F.col("u").alias(f"u{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
-        e = e.join(fa, F.col("a") == F.col("ua")).select("pa", "b").join(fb, F.col("b") == F.col("ub"))
-        e = cut(e.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    if not maps:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
-    for m in maps[1:]:
-        out = out.join(m, F.col("root") == F.col("u"), "left").select("node", F.coalesce("p", "root").alias("root"))
-    return out
+    spark = edges.sparkSession
+    with Scratch(spark) as s:
+        e = s.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        maps: list[DataFrame] = []
+        while n := e.count():
+            if rounds is not None:
+                rounds.append(n)
+            both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            least = both.groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+            before = F.struct(F.xxhash64("v"), "v") < F.struct(F.xxhash64("u"), "u")
+            hook = s.table(least.select("u", F.when(before, F.col("v")).otherwise(F.col("u")).alias("p")))
+            up = hook.select(F.col("u").alias("q"), F.col("p").alias("p2"))
+            jumped = hook.join(up, F.col("p") == F.col("q")).select("u", F.col("p2").alias("p"))
+            maps.append(s.table(jumped.join(up, F.col("p") == F.col("q")).select("u", F.col("p2").alias("p"))))
+            fa, fb = (maps[-1].select(F.col("u").alias(f"u{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+            near = e.join(fa, F.col("a") == F.col("ua")).select("pa", "b").join(fb, F.col("b") == F.col("ub"))
+            spent, e = e, s.table(near.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+            s.drop(spent, hook)
+        if not maps:
+            return spark.createDataFrame([], e.withColumnsRenamed({"a": "node", "b": "root"}).schema)
+        out = maps[-1]  # from the last map, the smallest, to the first
+        for m in reversed(maps[:-1]):
+            later = out.select(F.col("u").alias("q"), F.col("p").alias("p2"))
+            out = s.table(m.join(later, F.col("p") == F.col("q"), "left").select("u", F.coalesce("p2", "p").alias("p")))
+        return cut(out.select(F.col("u").alias("node"), F.col("p").alias("root")))

@@ -141,14 +141,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
     """Of each group of rows that pairs at a Jaccard of ``similarity`` or more join, the first one by id, then by the hashes
-    of its text and of the whole row; of rows that are equal one. Rows of a null id stay. Not by fingerprints: at 0.8 they
-    differ in any number of bits."""
-    mark = docs.withColumn("__id", F.col(id_col)).withColumn("__text", F.xxhash64(text)).withColumn("__row", F.xxhash64(*docs.columns))
-    rows = neardup.grouped(mark.select("__id", "__text", "__row", F.col(text).alias("text")), "text", similarity, words)
-    place = F.struct("__id", "__text", "__row")
-    first = rows.where("__id is not null").groupBy("root").agg(F.min(place).alias("first")).select("first.*")
-    some = mark.join(first, ["__id", "__text", "__row"], "left_semi").dropDuplicates(["__id", "__text", "__row"])
-    return some.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    of its text and of the whole row; of rows that are equal one. Rows of a null id stay.
+
+    Multi-index hashing over the fingerprints of the shingle sets proposes the close copies; at 0.8 fingerprints differ in any
+    number of bits, so the bands of ``neardup`` propose the rest, and every pair is verified by its Jaccard.
+    """
+    cols = [f"`{c}`" for c in docs.columns]
+    place = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("text"), F.xxhash64(*cols).alias("row"))
+    rows = neardup.grouped(docs.select(place.alias("row"), F.col(f"`{text}`").alias("text")), links, similarity, words)
+    known = rows.where("row.id is not null")
+    first = known.groupBy("root").agg(F.min("row").alias("row")).select("row")
+    first = cut(known.join(first, "row", "left_semi").groupBy("row").agg(F.count("*").alias("n")).select("row.*", "n"))  # equal rows by their number
+    packed = docs.select(F.struct(*cols).alias("own"), place.alias("at")).select("own", "at.*")
+    alone = packed.join(first.where("n = 1"), ["id", "text", "row"], "left_semi").select("own")
+    one = packed.join(first.where("n > 1"), ["id", "text", "row"], "left_semi").dropDuplicates(["id", "text", "row"]).select("own")
+    return alone.unionAll(one).select("own.*").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
