@@ -27,9 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what a document of smaller id has; characters that are cut in two go."""
-    found = suffixdedup.removals(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") > 0, suffixdedup.whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string"))
-    found = found.select("doc_id", text.alias("text"), "lang", "source")
+    found = suffixdedup.removals(docs.select(*COLUMNS), as_text=True).select("doc_id", F.col("kept").alias("text"), "lang", "source")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
