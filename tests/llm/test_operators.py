@@ -47,7 +47,7 @@ def test_query_equals_sql(spark, docs, name):
 
 # BPE
 
-TEXTS = ["", "   ", "İstanbul ΟΔΟΣ", "áé ẛ̣", "<|endoftext|> hi<|startoftext|>x <|endoftext|", "don't I'LL !!'s 'S 123 ４５ ²³", "\x85\x1c a\x00b​ c", "日本語 🎉🎉", "x" * 3000, "ab" * 2000 + "c", "é" * 900, "ſtraſſe ŉ K"]
+TEXTS = ["", "   ", "İstanbul ΟΔΟΣ", "áé ẛ̣", "<|endoftext|> hi<|startoftext|>x <|endoftext|", "don't I'LL !!'s 'S 123 ４５ ²³", "\x85\x1c a\x00b​ c", "日本語 🎉🎉", "x" * 3000, "ab" * 2000 + "c", "é" * 900, "ſtraſſe ŉ K", "a'l" * 300, "'ll" * 400, "!'s'" * 200]
 
 
 @pytest.fixture(scope="module")
@@ -62,15 +62,30 @@ def tokenizer():
 def test_bpe_equals_the_library(tokenizer, docs):
     path, lib = tokenizer
     random.seed(1)
-    texts = TEXTS + ["".join(random.choice("abcdeé!?'1 ") for _ in range(4000))] + [r["text"] or "" for r in docs.select("text").collect()]
-    for leaf in (16, 256):
-        made = bpe.Bpe(path, leaf)
+    odd = TEXTS + ["".join(random.choice(x) for _ in range(2000)) for x in ("abcdeé!?'1 ", "lsvre'dtm", "日本語ab'l é🎉")]
+    table = [r["text"] or "" for r in docs.select("text").collect()]
+    for leaf, symbols, texts in ((1, 2, odd), (3, 8, odd), (100, 64, odd + table), (bpe.LEAF, bpe.SYMBOLS, odd + table)):
+        made = bpe.Bpe(path, leaf, symbols)
         for t in texts:
             want = lib.encode(t, add_special_tokens=False).ids
             assert made.encode(t) == want
             assert made.decode(want) == lib.decode(want, skip_special_tokens=False)
-            parts = [(e, x if x is not None else made.encode_part(w, e)) for w, e, x in made.parts(t, 60)]
+            parts = [(s, made.encode_part(c) if s < 0 else None) for c, s in made.parts(t, 7 if t in odd else 1000)]
             assert np.frombuffer(made.join_parts(parts), "<u4").tolist() == want
+    assert made.merge([]) == [] and made.decode([5, 1 << 20]) == lib.decode([5])
+
+
+def test_the_table_meets_the_joins(tokenizer, docs):
+    made = bpe.Bpe(tokenizer[0])
+    for r in docs.select("text").collect():
+        made.encode(r["text"] or "")
+    assert made.joins > 50
+
+
+def test_long_words_are_halved(tokenizer):
+    made = bpe.Bpe(tokenizer[0])
+    made.encode("ab" * 2000)
+    assert made.token_joins > 20
 
 
 def test_bpe_over_tables(spark, tokenizer, odd):
@@ -324,10 +339,19 @@ def test_near_copies_under_one_id(spark):
     assert {r[:2] for r in got[0]} == {(1, a), (1, b), (4, "c d"), (None, a)} and len(got[0]) == 4
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 200)] + [(300, 300)]
-    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {x: 100 for x in range(100, 200)}
+@pytest.mark.parametrize("edges", [
+    [],
+    [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 200)] + [(300, 300)],
+    [(i, i + 1) for i in range(10_000)] + [(20_000, 20_001 + i) for i in range(10_000)],
+], ids=["none", "small", "long chain and hub"])
+def test_components(spark, edges):
+    rounds = []
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), rounds).collect()}
+    assert len(rounds) <= 14
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    hub = max((a for a, b in edges if a != b and a >= 100), default=0) if len(edges) < 1000 else 20_000
+    assert got.keys() == linked and all(got[x] == x for x in got.values())
+    assert len({(x >= hub, r) for x, r in got.items()}) == len(set(got.values())) == (2 if edges else 0)
 
 
 # Repeats
@@ -352,17 +376,41 @@ def plain_removals(rows, length=50):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_suffix_dedup(spark, small):
+def test_suffix_classes():
+    random.seed(9)
+    for _ in range(60):
+        unit = bytes(random.choice(b"ab") for _ in range(random.randrange(3, 80)))
+        t = b"".join(random.choice([unit, unit[2:], b"a", b"b"]) for _ in range(30)) + b"a" * 50
+        starts = np.array(sorted(random.sample(range(len(t) - 49), (len(t) - 49) // 2)))
+        found = suffixdedup.suffix_classes(np.frombuffer(t, np.uint8), starts)
+        names = {t[s : s + 50]: int(k) for s, k in zip(starts, found, strict=True)}
+        assert [names[t[s : s + 50]] for s in starts] == found.tolist() and len(set(names.values())) == len(names)
+        assert sorted(names) == sorted(names, key=names.get)  # the order of the suffixes
+
+
+@pytest.mark.parametrize("sizes", [
+    {}, {"block_bytes": 3000, "part_bytes": 5000, "segment": 256}, {"block_bytes": 1000, "part_bytes": 500, "segment": 256, "coarse_parts": 3}, {"length": 47}, {"length": 101, "block_bytes": 500},
+], ids=["plain", "small", "dealt twice", "short", "long"])
+def test_suffix_dedup(spark, sizes):
     random.seed(5)
     base = ["".join(random.choice("ab cdé\n") for _ in range(random.choice([30, 60, 120, 400]))) for _ in range(20)]
     rows = [(i, "".join(random.choice(base)[random.randrange(20) :] for _ in range(random.randrange(6)))) for i in range(80)]
-    rows += [(5, "x" * 300), (7, "x" * 500), (7, "x" * 500), (None, "x" * 300), (8, None), (9, ""), (-3, "y" * 49), (-2, "y" * 50), (-1, "y" * 51)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("KEPT", F.lit(1)).repartition(3)
-    sizes = {"block_bytes": 3000, "part_bytes": 5000, "segment": 256} if small else {}
+    rows += [(5, "x" * 300), (7, "x" * 500), (7, "x" * 500), (None, "x" * 300), (8, None), (9, ""), (-3, "y" * 49), (-2, "y" * 50), (-1, "y" * 51), (200, base[0] * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("KEPT", F.lit(1)).withColumn("b", F.lit(2)).withColumn("rest", F.lit(3)).repartition(3)
     got = suffixdedup.removals(df, **sizes).collect()
-    assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in got) == plain_removals(rows)
-    assert suffixdedup.removals(df.limit(0)).isEmpty()
+    assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in got) == plain_removals(rows, sizes.get("length", 50))
+    assert {(r["b"], r["rest"]) for r in got} == {(2, 3)}
+
+
+def test_suffix_dedup_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert suffixdedup.removals(df).isEmpty()
+
+
+def test_suffix_dedup_as_text(spark):
+    df = spark.createDataFrame([(1, "é" * 60), (2, "x" + "é" * 60 + "y")], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in suffixdedup.removals(df, as_text=True).collect()}
+    assert got == {1: "é" * 60, 2: "xy"}
 
 
 # Embeddings
