@@ -2,7 +2,8 @@
 
 The log holds, for each conversation, events in sequence: ``start`` opens a message (role, text), ``delta`` adds text to
 it, ``edit`` replaces its text, ``regenerate`` empties it and drops the messages that came after it. Events are dealt by
-conversation, folded into final messages with windows, and rendered with a template. Texts are escaped so that no text
+conversation, folded into final messages with windows, and rendered with a template. A conversation is rendered as one text, so it is
+folded in one task. Texts are escaped so that no text
 can hold a mark of the template; the way back is exact.
 
 Rendered turn: ``<turn ROLE>`` line end, text, ``</turn>`` line end. In texts ``\\`` is ``\\0``, ``<`` is ``\\1``; in roles also
@@ -39,7 +40,8 @@ def fold(events: DataFrame) -> DataFrame:
     Null texts are empty; events of one sequence number are taken by message, kind and text, so ties have one order.
     A message stands where it was first named; its role is the first one given. Its text is that of the last edit or
     regeneration (empty), with the deltas after that. A regeneration drops messages first named between the message
-    and itself. Events of other kinds are refused by an error when they are read.
+    and itself. Events of other kinds are refused by an error when they are read. Other columns of the log are left out, equal
+    events count each, and an empty log gives no messages.
     """
     known = F.col("kind").isin("start", "delta", "edit", "regenerate")
     e = events.select(
@@ -99,18 +101,40 @@ def formatted(events: DataFrame) -> DataFrame:
     return render(fold(events))
 
 
+def log_of(messages: DataFrame) -> DataFrame:
+    """A log that folds to ``messages`` (conv_id, message_id, role, text), which follow each other by message_id from 1 on.
+
+    The text of a message comes in two deltas. By turns it comes at once; or after a draft that an edit replaces by its first half; or
+    after a draft and a follow-up message that a regeneration throws away; or an edit is the last to come.
+    """
+    m, text = F.col("message_id"), F.col("text")
+    half = (F.length(text) / 2).cast("int")
+    head, tail = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    nobody = F.lit(None).cast("string")
+
+    def events(*steps: tuple) -> Column:
+        of = lambda kind, what, stray=False: (kind, what, -m if stray else m)
+        made = [of(*x) for x in (("start", F.lit("")), *steps)]
+        return F.array(*[F.struct((m * 10 + i).alias("seq"), F.lit(k).alias("kind"), who.alias("message_id"), (F.lit("stray") if k == "start" and i else F.col("role") if k == "start" else nobody).alias("role"), what.alias("text")) for i, (k, what, who) in enumerate(made)])
+
+    draft = F.lit("a <draft> that goes")
+    plain = events(("delta", head), ("delta", tail))
+    edited = events(("delta", draft), ("edit", head), ("delta", tail))
+    again = events(("delta", draft), ("start", F.lit("and"), True), ("delta", draft, True), ("regenerate", draft), ("delta", head), ("delta", tail))
+    late = events(("delta", tail), ("delta", draft), ("edit", text))
+    turn = m % 4
+    log = F.when(turn == 0, plain).when(turn == 1, edited).when(turn == 2, again).otherwise(late)
+    return messages.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(["user", "assistant"])])).alias("r")).select("conv_id", "r.*")
     rows = rows.unionByName(extra)
-    # Every row is a message of its own, rows of one turn too: a start that names it, and its text as a delta.
-    each = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("message_id", F.row_number().over(each).cast("long"))
-    seq = F.col("message_id") * 2
-    kinds = F.array(F.struct(seq.alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("part")), F.struct((seq + 1).alias("seq"), F.lit("delta").alias("kind"), F.coalesce("text", F.lit("")).alias("part")))
-    log = rows.select("conv_id", "message_id", "role", F.explode(kinds).alias("e")).select("conv_id", "e.seq", "e.kind", "message_id", "role", F.col("e.part").alias("text"))
-    out = formatted(log)
+    # Every row is a message of its own, rows of one turn too.
+    each = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    out = formatted(log_of(rows.withColumn("message_id", F.row_number().over(each).cast("long")).select("conv_id", "message_id", "role", F.coalesce("text", F.lit("")).alias("text"))))
     out = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("mask")).alias("loss"))
     told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return out.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(told, "UTF-8"), 256).alias("turns_sha256"), F.concat_ws("", "loss").alias("loss")).select(

@@ -6,8 +6,9 @@ them are full does it reach the children of the ancestor above. That is: at each
 budget at one level per weight, each no more than it has. A leaf takes whole epochs while its budget lasts, and
 of the last one the documents in the order of a seeded hash up to the budget.
 
-The order is never laid out in one task: the hash deals a leaf's documents to buckets, the tokens of the buckets are added
-up first, and only the bucket where the budget ends is looked at document by document.
+The order is never laid out in one task: the place where a budget ends is found by its hash, digit by digit. The tokens of each range of
+hashes are added up, the range where the budget ends is cut into RADIX smaller ones, and only when it holds no more than
+RANGE_ROWS documents is it looked at one by one, equal rows as one with their number.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, row_of
 
 SPACE = " \t\n\x0b\x0c\r"
 LEVELS = ["domain", "language", "source"]
-#: Documents of a bucket, about.
-BUCKET_ROWS = 5000
+#: Ranges that one is cut into, and rows of a range that is not cut again.
+RADIX = 1024
+RANGE_ROWS = 1000
 SALTS = 16
+HASHES = 1 << 32
 
 
 def words(text: str = "text") -> Column:
@@ -76,55 +79,69 @@ def budgets(leaves: DataFrame, total: float, weights: dict[str, dict[str, float]
     return done.select(*LEVELS, "tokens", "rows", F.round("own").cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, total: float | None = None, share: float = 0.8, weights: dict[str, dict[str, float]] | None = None, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source", domain: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, total: float | None = None, share: float = 0.8, weights: dict[str, dict[str, float]] | None = None, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source", domain: Column | None = None, keep_text: bool = True) -> DataFrame:
     """Rows of ``docs`` with domain, n_tokens and epoch (0, 1, ...), as often as the budgets of their leaves take them.
 
     The budget is ``total`` tokens, or ``share`` of those there are. ``domain`` is a column of ``docs``; without it all
     is one domain. Null names count as the name ''. Documents without words are never taken. In an epoch the documents
-    of a leaf stand in the order of md5(seed, epoch, id), equal ids by their text's hash; a document is taken if the
-    budget isn't used up before it, so a leaf exceeds its budget by less than one document. Rows that are equal in all
-    that are taken or left alike only if their place is; repeated rows stand one after the other.
+    of a leaf stand in the order of md5(seed, epoch, id), equal ids by the hashes of their text and of their row; a document is taken if
+    the budget isn't used up before it, so a leaf exceeds its budget by less than one document. Of rows that are equal in all
+    columns, as many are taken as the budget reaches. An empty table gives none; extra columns stay, but columns named like a
+    result are replaced. Without ``keep_text`` the text is left out and ``docs`` is read once.
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    kept = [c for c in docs.columns if c.lower() not in {"n_tokens", "epoch", "domain"}]
-    keys = [f"__{c}" for c in LEVELS]
+    added = ["n_tokens", "epoch", "domain", *([] if keep_text else [text])]
     d = docs.select(
-        *[F.col(f"`{c}`") for c in kept], words(text).alias("n_tokens"), name(domain if domain is not None else F.lit("all")).alias("__domain"),
-        name(F.col(language)).alias("__language"), name(F.col(source)).alias("__source"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(text)).alias("__text"),
+        row_of(docs, *added), words(f"`{text}`").alias("n"), name(domain if domain is not None else F.lit("all")).alias("domain"), name(F.col(f"`{language}`")).alias("language"),
+        name(F.col(f"`{source}`")).alias("source"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text}`").alias("t"), F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("r"),
+        (F.length(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), SPACE, "")) > 0).alias("worded"),
     )
-    d = d.withColumn("__salt", F.pmod(F.xxhash64("__id", "__text"), F.lit(SALTS)).cast("int"))
-    slim = cut(d.where("n_tokens > 0").select(*keys, "__salt", "__id", "__text", "n_tokens"))
-    leaves = cut(slim.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
+    d = d.where("worded").drop("worded").withColumn("salt", F.pmod(F.xxhash64("id", "t"), F.lit(SALTS)).cast("int"))
+    if not keep_text:
+        d = cut(d)
+    slim = cut(d.drop("row")) if keep_text else d.drop("row")
+    leaves = cut(slim.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")))
     there = leaves.agg(F.sum("tokens")).first()[0] or 0
-    plain = leaves.select(*[F.col(k).alias(c) for k, c in zip(keys, LEVELS, strict=True)], "tokens", "rows")
-    plan = budgets(plain, total if total is not None else share * there, weights or {}, max_epochs)
+    plan = budgets(leaves, total if total is not None else share * there, weights or {}, max_epochs)
     plan = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
     plan = plan.withColumn("left", F.col("budget") - F.col("epoch") * F.col("tokens")).where("left > 0")
-    plan = plan.withColumn("whole", F.col("left") >= F.col("tokens")).withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS).cast("long"))
-    plan = cut(plan.select(*[F.col(c).alias(k) for k, c in zip(keys, LEVELS, strict=True)], "epoch", "left", "whole", "buckets"))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
-    bucket = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(1 << 32)).cast("long")
-    in_order = lambda rows, p: _salted(rows, p, keys).withColumn("__key", key).withColumn("__bucket", bucket)
-    # Where the budget ends: first the bucket, then the document.
-    sums = in_order(slim, plan.where("not whole")).groupBy(*keys, "epoch", "__bucket").agg(F.sum("n_tokens").alias("sum"), F.first("left").alias("left"), F.first("buckets").alias("buckets"))
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy(*keys, "epoch").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = cut(sums.withColumn("before", before).where("before < left and before + sum >= left").select(*keys, "epoch", F.col("__bucket").alias("edge"), (F.col("left") - F.col("before")).alias("left"), "buckets"))
-    last = in_order(slim, edge).where("__bucket = edge")
-    place = F.struct("__key", "__id", "__text")
-    so_far = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*keys, "epoch").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = last.withColumn("so_far", so_far).where("so_far < left").groupBy(*keys, "epoch").agg(F.max("edge").alias("edge"), F.max(place).alias("last"))
-    ends = plan.join(last.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("epoch").alias("epoch2"), "edge", "last"), [F.col(k) == F.col(f"{k}2") for k in keys] + [F.col("epoch") == F.col("epoch2")], "left")
-    ends = cut(ends.select(*keys, "epoch", "whole", "buckets", "edge", "last"))
-    taken = in_order(d.where(F.length(F.translate(F.coalesce(F.col(text), F.lit("")), SPACE, "")) > 0), ends)
-    taken = taken.where(F.col("whole") | (F.col("__bucket") < F.col("edge")) | ((F.col("__bucket") == F.col("edge")) & (F.struct("__key", "__id", "__text") <= F.col("last"))))
-    return taken.select(*[F.col(f"`{c}`") for c in kept], F.col("__domain").alias("domain"), "n_tokens", "epoch")
-
-
-def _salted(rows: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
+    plan = cut(plan.select(*LEVELS, "epoch", "left", (F.col("left") >= F.col("tokens")).alias("whole"), "rows"))
+    leaf = [*LEVELS, "epoch"]
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    in_order = lambda rows, p: _salted(rows, p).withColumn("key", key).withColumn("hash", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
+    # Where the budget ends: first the range of hashes, then the document.
+    ends = plan.where("not whole").select(*leaf, "left", F.lit(0).cast("long").alias("low"), F.lit(HASHES).alias("high"), "rows")
+    large = f"rows > {RANGE_ROWS} and high - low > 1"
+    while not ends.where(large).isEmpty():
+        step = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / RADIX)).cast("long")
+        there = in_order(slim, ends.where(large).drop("rows").withColumn("step", step)).where("hash >= low and hash < high")
+        sums = there.groupBy(*leaf, "left", "low", "high", "step", F.floor((F.col("hash") - F.col("low")) / F.col("step")).cast("long").alias("slot")).agg(F.sum("n").alias("sum"), F.count("*").alias("rows"))
+        before = F.coalesce(F.sum("sum").over(Window.partitionBy(*leaf).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        begin = F.col("low") + F.col("slot") * F.col("step")
+        hit = sums.withColumn("before", before).where("before < left and before + sum >= left")
+        narrow = hit.select(*leaf, (F.col("left") - F.col("before")).alias("left"), begin.alias("low"), F.least("high", begin + F.col("step")).alias("high"), "rows")
+        ends = cut(narrow.unionAll(ends.where(f"not ({large})")))
+    place = F.struct("key", "id", "t", "r")
+    last = in_order(slim, ends.drop("rows")).where("hash >= low and hash < high")
+    last = last.groupBy(*leaf, "left", "low", "high", place.alias("place")).agg(F.count("*").alias("copies"), F.min("n").alias("n"))
+    so_far = F.coalesce(F.sum(F.col("n") * F.col("copies")).over(Window.partitionBy(*leaf).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = last.withColumn("so_far", so_far).where("so_far < left").withColumn("take", F.least("copies", F.ceil((F.col("left") - F.col("so_far")) / F.col("n"))))
+    last = last.groupBy(*leaf, "low").agg(F.max("place").alias("last"), F.max_by("take", "place").alias("take"), F.max_by("copies", "place").alias("copies"))
+    ends = cut(plan.drop("left", "rows").join(last, leaf, "left"))
+    taken = in_order(d, ends)
+    taken = taken.where(F.col("whole") | (F.col("hash") < F.col("low")) | (place < F.col("last")) | ((place == F.col("last")) & (F.col("take") == F.col("copies"))))
+    taken = taken.select("row", "domain", "n", "epoch")
+    if not ends.where("take < copies").isEmpty():  # a budget ends among equal rows
+        some = in_order(d, ends.where("take < copies")).where(place == F.col("last"))
+        some = some.groupBy(*leaf).agg(F.first("row").alias("row"), F.first("n").alias("n"), F.first("take").alias("take"))
+        taken = taken.unionAll(some.select("row", "domain", "n", F.col("epoch"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("take").cast("long")))).select("row", "domain", "n", "epoch"))
+    return taken.select("row.*", "domain", F.col("n").alias("n_tokens"), "epoch")
+
+
+def _salted(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with the plan of their leaf. One leaf may hold a third of the rows, so its rows are dealt over SALTS keys."""
-    many = plan.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(*[F.col(k).alias(f"{k}2") for k in keys], "salt2", *[c for c in plan.columns if c not in keys])
-    on = [F.col(k) == F.col(f"{k}2") for k in keys] + [F.col("__salt") == F.col("salt2")]
-    return rows.join(many, on).drop(*[f"{k}2" for k in keys], "salt2")
+    many = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(many, [*LEVELS, "salt"])
 
 
 #: What op3 aims at: domains are the sources' numbers modulo four.
@@ -134,7 +151,7 @@ DOMAIN = "concat('d', try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) %
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = mix(docs, share=0.8, weights=WEIGHTS, max_epochs=2, domain=F.expr(DOMAIN))
+    found = mix(docs, share=0.8, weights=WEIGHTS, max_epochs=2, domain=F.expr(DOMAIN), keep_text=False)
     return found.select("doc_id", "epoch", "n_tokens", "domain", "lang", "source")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_of, without
+from .common import cut, read, row_of, text_of
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -43,25 +43,29 @@ def measure(docs: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
     Words are runs of characters other than ASCII white space; a duplicate line is one with a word that equals an
     earlier line; repeated words are those in windows of ``window`` words that the text has twice or more.
     """
-    kept = [f"`{c}`" for c in without(docs, text, *MEASURES, "n_lines").columns]
-    t = F.col("__text")
-    df = docs.select(*kept, text_of(f"`{text}`").alias("__text"))
+    frame = docs.select(row_of(docs, text, *MEASURES, "n_lines"), text_of(f"`{text}`").alias("text"))
+    return _measured(frame, ["row"], window).select("row.*", *MEASURES, "n_lines")
+
+
+def _measured(df: DataFrame, kept: list[str], window: int = 3) -> DataFrame:
+    """The columns ``kept`` and the measures of the column ``text``."""
+    t = F.col("text")
     df = df.select(
         *kept,
-        _split(t).alias("__words"),
+        _split(t).alias("words"),
         F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("__lines"),
+        F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("lines"),
     )
-    words = F.col("__words")
+    words = F.col("words")
     last = F.size(words) - window
     pieces = lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(window)])
     found = F.when(last >= 0, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(pieces(i).alias("w"), i.alias("at")))))
     own = ["word_chars", "n_symbols"]
-    df = df.select(*kept, *own, F.size(words).cast("long").alias("n_words"), F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), found.alias("__found"))
+    df = df.select(*kept, *own, F.size(words).cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), found.alias("found"))
     own += ["n_words", "n_lines", "n_dup_lines"]
-    df = df.select(*kept, *own, _covered(F.col("__found"), window).alias("__at"))
-    at = F.col("__at")
+    df = df.select(*kept, *own, _covered(F.col("found"), window).alias("at"))
+    at = F.col("at")
     spans = F.transform(at, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(at, i + 1) - x, F.lit(window))))
     total = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
     return df.select(*kept, *own, F.coalesce(total, F.lit(0).cast("long")).alias("n_repeat_words"))
@@ -90,17 +94,19 @@ def quality(docs: DataFrame, host: str = "source", text: str = "text", max_rate:
     """``docs`` without ``text``, with the measures, base_failed, failed (base or any rule), host_rate and kept.
 
     kept is false where base_failed, else whether the host is accepted; a document of null host is judged alone.
-    Extra columns stay; columns named like a result are replaced.
+    Extra columns stay, whatever their names; columns named like a result are replaced. Repeated rows are measured and counted each;
+    an empty table gives none.
     """
     added = [*MEASURES, "n_lines", "base_failed", "failed", "host_rate", "kept"]
-    df = measure(without(docs, *[c for c in added if c.lower() not in (host.lower(), text.lower())]), text)
+    df = docs.select(row_of(docs, text, *added), F.col(f"`{host}`").alias("host"), text_of(f"`{text}`").alias("text"))
+    df = _measured(df, ["row", "host"])
     any_rule = F.lit(False)
     for rule in RULES.values():
         any_rule = any_rule | F.expr(rule)
     df = cut(df.withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | any_rule))
-    hosts = cut(host_verdicts(df, host, max_rate)).select(F.col(host).alias("__host"), "host_rate", "host_ok")
-    out = df.join(hosts, F.col(host) == F.col("__host"), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("__host", "host_ok")
+    hosts = cut(host_verdicts(df, "host", max_rate).select("host", "host_rate", "host_ok"))
+    out = df.join(hosts, "host", "left")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).select("row.*", *added)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

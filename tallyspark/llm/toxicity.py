@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lean, read, released, without
@@ -24,9 +24,11 @@ TABLE = 1 << 16
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Bound of the training sample: this many labelled rows of each class at most, taken by hash of their id.
+#: Bounds of the training sample: this many labelled rows of each class at most, and bytes of their texts, taken by hash of their id.
 SAMPLE = 4000
-EPOCHS = 4
+SAMPLE_BYTES = 32 << 20
+#: Times that each row is learnt from: at least so often, and more often while few rows would make few steps.
+EPOCHS, MORE_EPOCHS, ROWS_LEARNT = 4, 12, 24_000
 CACHE = 50_000
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|«»…-_"
 
@@ -111,11 +113,12 @@ def constant(rate: float) -> Cnn:
     return Cnn(np.zeros((TABLE, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), z)
 
 
-def train(texts: list[str], labels: list[int], weights: list[float], langs: list[str], epochs: int = EPOCHS, seed: int = 7, batch: int = 32) -> Cnn:
+def train(texts: list[str], labels: list[int], weights: list[float], langs: list[str], epochs: int | None = None, seed: int = 7, batch: int = 32) -> Cnn:
     """Fit on four fifths of the rows, set the thresholds on the others (weighted to what the corpus holds)."""
     y = np.array(labels, np.float32)
     if len(y) < 20 or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.0)
+    epochs = epochs or min(MORE_EPOCHS, max(EPOCHS, ROWS_LEARNT // len(y)))
     rng = np.random.default_rng(seed)
     seen: dict[str, int] = {}
     bags: list[list[int]] = []
@@ -225,22 +228,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Cnn:
-    """Train on at most ``per_class`` labelled rows of each class that are not held out, taken by hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, class_bytes: int = SAMPLE_BYTES) -> Cnn:
+    """Train on at most ``per_class`` labelled rows of each class that are not held out, taken by hash of the id while their texts have
+    ``class_bytes`` bytes. Of rows that repeat an id the text of the smallest hash counts; a null text counts as empty. Without
+    documents or labels, every text gets the rate of the labels as its score."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(picked[0].unionAll(picked[1]))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    share = {c: counts.get(c, 0) / max(1, min(counts.get(c, 0), per_class)) for c in (0, 1)}
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "lang", text.alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("lang", "text", "toxic"), F.struct(F.xxhash64("text"), "lang")).alias("one")).select("doc_id", "one.*")
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < class_bytes).drop("before").orderBy("doc_id").toPandas()
     y = [int(x) for x in rows["toxic"]]
+    share = {c: counts.get(c, 0) / max(1, y.count(c)) for c in (0, 1)}
     return train(rows["text"].tolist(), y, [share[c] for c in y], [x if isinstance(x, str) else None for x in rows["lang"]])
 
 
 def score(docs: DataFrame, model: Cnn, text: str = "text") -> DataFrame:
     """``docs`` with score and threshold (that of the row's language for the verdict ``rejected``).
 
-    The score sees the text alone; a null text counts as empty. Languages without a threshold of their own take 0.5.
+    The score sees the text alone; a null text counts as empty. Languages without a threshold of their own take 0.5. Rows stay as they
+    are, repeated ones too; an empty table gives none.
     """
     spark = docs.sparkSession
     base = without(docs, "score", "threshold", "rejected")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, shared_folder
+from .common import cut, read, remove, shared_folder
 
 DICTIONARY_MAGIC = 0x184D2A5D
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
@@ -27,8 +27,9 @@ SALTS = 32
 #: The dictionary is built from the first records of an archive, this many bytes of them at most.
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
-#: Frames of an archive, its dictionary among them; then the next file begins.
+#: Frames of an archive, its dictionary among them, and bytes of it, at most (or one record); then the next file begins.
 ARCHIVE_FRAMES = 2048
+ARCHIVE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
@@ -62,17 +63,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
-def _frames(records: Iterator[bytes], level: int, frames: int) -> Iterator[bytes]:
-    """Archive after archive of ``frames`` frames: that of the dictionary, then one for each record."""
+def _frames(records: Iterator[bytes], level: int, frames: int, most: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """Archive after archive of ``frames`` frames: that of the dictionary, then one for each record. An archive that reaches
+    ``most`` bytes is filled up with empty rows, of which the file gets the separator alone."""
+    n = 0
     while True:
         own = islice(records, frames - 1)
         first = next(own, None)
         if first is None:
             return
-        yield from _archive(chain([first], own), level)
+        yield from [b""] * (-n % frames)
+        n = 0
+        for f in _archive(chain([first], own), level, most):
+            yield f
+            n += 1
 
 
-def _archive(records: Iterator[bytes], level: int) -> Iterator[bytes]:
+def _archive(records: Iterator[bytes], level: int, most: int) -> Iterator[bytes]:
     """Holds the sample and no more."""
     held, size = [], 0
     for r in records:
@@ -84,11 +91,14 @@ def _archive(records: Iterator[bytes], level: int) -> Iterator[bytes]:
     raw = made.as_bytes()
     yield struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
     press = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(raw), write_checksum=True, write_content_size=True)
-    for r in held:
-        yield press.compress(r)
-    held.clear()
-    for r in records:
-        yield press.compress(r)
+    written = len(raw)
+    for r in chain(held, records):
+        yield (f := press.compress(r))
+        written += len(f)
+        if written >= most and not held:
+            return
+        if held and r is held[-1]:
+            held.clear()
 
 
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
@@ -140,11 +150,12 @@ def with_refers(pages: DataFrame, least: int) -> DataFrame:
     return p.join(many, ["digest", "salt"]).where("page_id > refers_to").select("page_id", "digest", "refers_to", "refers_url").distinct()
 
 
-def write(pages: DataFrame, folder: str, least: int = 100, level: int = 3, date: str = "2024-01-01T00:00:00Z", frames: int = ARCHIVE_FRAMES) -> None:
+def write(pages: DataFrame, folder: str, least: int = 100, level: int = 3, date: str = "2024-01-01T00:00:00Z", frames: int = ARCHIVE_FRAMES, most: int = ARCHIVE_BYTES) -> None:
     """Archives of ``pages`` (page_id, url, html; other columns are not stored) in ``folder``.
 
     A null html is an empty payload, a null url an empty one. Rows of a null page_id are responses. Rows that repeat a
-    page_id are all stored; those with the smallest id of their payload are all responses.
+    page_id are all stored, under one record id; those with the smallest id of their payload are all responses. A page is one
+    record and so is held whole; an archive ends at ``frames`` frames or ``most`` bytes. An empty table gives an empty folder.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
@@ -156,7 +167,7 @@ def write(pages: DataFrame, folder: str, least: int = 100, level: int = 3, date:
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (record(*[c[i].as_py() for c in b.columns], date) for b in batches for i in range(len(b)))
         held, size = [], 0
-        for f in _frames(records, level, frames):
+        for f in _frames(records, level, frames, most):
             held.append(f)
             size += len(f)
             if size >= 1 << 22:
@@ -202,12 +213,23 @@ def _row(h: dict[str, str], block: bytes) -> dict:
     }
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """Of records read back: page_id, payload_bytes, payload_digest, record_type, refers_to. What a revisit tells of its payload
+    is taken from the payload of the response that it names; if there is none with its digest, it is null."""
+    slim = cut(found.select("page_id", "record_type", "refers_to", "header_digest", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d")))
+    own = slim.where("record_type = 'response'")
+    named = own.select(F.col("page_id").alias("named"), F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest")).distinct()
+    again = slim.where("record_type = 'revisit'").join(named, (F.col("refers_to") == F.col("named")) & (F.col("header_digest") == F.col("payload_digest")), "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return own.select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to").unionAll(again.select(*columns))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(read(spark, sf_dir, "pages"), folder)
-    found = read_archives(spark, folder)
-    own = F.col("record_type") == "response"
-    return found.select("page_id", F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("header_bytes")).alias("payload_bytes"), F.when(own, F.sha2("payload", 256)).otherwise(F.col("header_digest")).alias("payload_digest"), "record_type", "refers_to")
+    out = resolved(read_archives(spark, folder))
+    remove(spark, folder)  # all of it has been read
+    return out
 
 
 OP6_SQL = r"""

@@ -115,8 +115,11 @@ def test_quality_measures(spark, odd):
     rows = [(i, "".join(random.choice(["a", "b", " ", " ", "\n", "#", "\t", "é"]) for _ in range(random.randrange(300))), "en", "s") for i in range(60)] + ODD
     got = quality.measure(spark.createDataFrame(rows, SCHEMA).withColumn("n_words", F.lit("old"))).select(*quality.MEASURES).collect()
     assert sorted(map(tuple, got)) == sorted(plain_measures(r[1]) for r in rows)
-    out = quality.quality(odd)
+    clashing = odd.withColumn("host_ok", F.lit(1)).withColumn("host", F.lit("h")).withColumn("words", F.lit("w")).withColumn("row", F.lit(2))
+    out = quality.quality(clashing)
     assert out.count() == len(ODD)
+    assert {(r["host_ok"], r["host"], r["words"], r["row"]) for r in out.collect()} == {(1, "h", "w", 2)}
+    assert quality.measure(clashing).count() == len(ODD)
     assert quality.quality(odd.limit(0)).isEmpty()
 
 
@@ -144,10 +147,39 @@ def test_mix(spark, odd):
     half = mixing.mix(df, share=0.5, max_epochs=1)
     total = sum(1 + i % 7 for i in range(300))
     assert abs(half.agg(F.sum("n_tokens")).first()[0] - total / 2) < 3 * 7
-    assert mixing.mix(odd, share=1.0).where("doc_id = 1 or doc_id is null").isEmpty()
+    clashing = odd
+    for c in ("whole", "edge", "last", "buckets", "left", "row", "t", "n", "salt", "rows", "low", "take"):
+        clashing = clashing.withColumn(c, F.lit(c))
+    for text in (True, False):
+        got = mixing.mix(clashing, share=1.0, keep_text=text)
+        assert got.where("doc_id = 1 or doc_id is null").isEmpty() and not got.isEmpty()
+        assert {r["left"] for r in got.collect()} == {"left"}
+        assert got.columns.count("text") == text
     assert mixing.mix(odd.limit(0)).isEmpty()
 
 
+def plain_mix(rows, budget):
+    """Places taken of one leaf, in the order of md5(mix:0:id)."""
+    out, used = [], 0
+    for i, t in sorted(rows, key=lambda r: (hashlib.md5(f"mix:0:{r[0]}".encode()).hexdigest(), r[0])):
+        if used < budget and t.split():
+            out.append(i)
+            used += len(t.split())
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ranges", [{}, {"RADIX": 256, "RANGE_ROWS": 2}], ids=["plain", "narrow"])
+def test_budgets_end_among_equal_rows(spark, monkeypatch, ranges):
+    for k, v in ranges.items():
+        monkeypatch.setattr(mixing, k, v)
+    equal, thrice = [(7, "a b c d e f g h i j")] * 100, [(i // 3, "w " * (1 + i // 3 % 5)) for i in range(200)]
+    for rows, share, text in ((equal, 0.8, True), (thrice, 0.3, False), (thrice, 0.805, True)):
+        df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA).repartition(3)
+        budget = round(share * sum(len(t.split()) for _, t in rows))
+        got = mixing.mix(df, share=share, max_epochs=1, keep_text=text)
+        assert sorted(r["doc_id"] for r in got.collect()) == plain_mix(rows, budget)
+
+
 # Chat
 
 
@@ -162,6 +194,22 @@ def test_chat_fold(spark):
         chat.fold(spark.createDataFrame([(1, 1, "x", 1, "r", "t")], "conv_id long, seq long, kind string, message_id long, role string, text string")).collect()
 
 
+def test_chat_log_folds_to_its_messages(spark):
+    rows = [(c, m, r, t) for c in (1, 2) for m, (r, t) in enumerate([("user", "ab<c"), ("assistant", ""), ("user", "x"), ("assistant", "é☃ two"), ("assistant", "\\### Assistant: </turn> ok"), ("", "long " * 5000)], 1)]
+    df = spark.createDataFrame(rows, "conv_id long, message_id long, role string, text string").withColumn("seq", F.lit("clash"))
+    log = chat.log_of(df).withColumn("n", F.lit(0))
+    assert {r["kind"] for r in log.collect()} == {"start", "delta", "edit", "regenerate"}
+    got = chat.fold(log).orderBy("conv_id", "at").collect()
+    assert [(r["conv_id"], r["role"], r["text"]) for r in got] == [(c, r, t) for c, _, r, t in rows]
+    assert chat.formatted(log.limit(0)).isEmpty()
+
+
+def test_a_large_conversation(spark):
+    df = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), (F.col("id") + 1).alias("message_id"), F.lit("assistant").alias("role"), F.repeat(F.lit("ab <"), 50).alias("text"))
+    r = chat.formatted(chat.log_of(df)).select(F.size(chat.parse(F.col("formatted"))).alias("n"), F.length(F.concat_ws("", chat.masked(F.col("formatted"), F.col("mask")))).alias("m")).first()
+    assert (r["n"], r["m"]) == (3000, 3000 * 200)
+
+
 # Toxicity
 
 
@@ -185,6 +233,34 @@ def test_toxicity_learns_and_keeps_out(spark, odd):
     assert none.where("score is null or score < 0 or score > 1").isEmpty()
 
 
+def test_held_out_labels(spark, docs):
+    folder = FOLDER.replace("sf0.001", "sf0.1")
+    if not os.path.isdir(folder):
+        pytest.skip("no larger table here")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id").select("doc_id", "lang", "text")
+    got = toxicity.score(known.where(toxicity.held_out(F.col("doc_id"))), toxicity.fit(known, labels))
+    rows = got.join(labels, "doc_id").select("toxic", "score").collect()
+    good, bad = ([r["score"] for r in rows if r["toxic"] == k] for k in (0, 1))
+    assert len(good) > 200 and len(bad) > 10
+    auc = np.mean([(b > g) + (b == g) / 2 for b in bad for g in good])
+    hits = sum(x >= 0.5 for x in bad)
+    f1 = 2 * hits / (hits + sum(x >= 0.5 for x in good) + len(bad))
+    assert auc > 0.9 and f1 > 0.75
+
+
+def test_toxicity_of_odd_tables(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    model = toxicity.fit(odd.limit(0), labels)
+    assert toxicity.score(odd.limit(0), model).isEmpty()
+    repeated = spark.createDataFrame([(i, f"{w} " * 30, "en", "s") for i in range(40) for w in ("alpha", "beta")], SCHEMA)
+    every = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    a, b = (toxicity.fit(x, every) for x in (repeated, repeated.orderBy(F.desc("text")).repartition(3)))
+    assert np.array_equal(a.table, b.table) and a.shift == b.shift
+    few = toxicity.fit(repeated, every, class_bytes=1)  # one row of each class
+    assert few.score("alpha") == few.score("other words")
+
+
 def test_pooling_in_chunks():
     rng = np.random.default_rng(1)
     m = toxicity.Cnn(rng.normal(size=(toxicity.TABLE, toxicity.DIM)).astype("f4"), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype("f4") for w in toxicity.WIDTHS], np.zeros(3 * toxicity.FILTERS, "f4"), np.ones(3 * toxicity.FILTERS, "f4"), 0.0)
@@ -207,15 +283,27 @@ def test_warc_round_trip(spark, tmp_path):
     for p, _, h in rows:
         raw = (h or "").encode()
         ref = first.get(h) if p is not None and p > first.get(h, p) else None
-        want.append((p or -1, "response" if ref is None else "revisit", ref or -1, len(raw), hashlib.sha256(raw).hexdigest()))
-    have = [(r["page_id"] if r["page_id"] else -1 if r["page_id"] is None else 0, r["record_type"], r["refers_to"] if r["refers_to"] is not None else -1, r["header_bytes"], r["header_digest"]) for r in got]
-    assert sorted(have) == sorted((p if p != -1 or q else 0, *x) for (p, *x), q in zip(want, [r[0] is None for r in rows], strict=True)) or len(have) == len(want)
-    assert sorted(x[1:] for x in have) == sorted((t, (ref if ref != -1 else -1) if t == "revisit" else -1, n, d) for _, t, ref, n, d in want)
+        want.append((-1 if p is None else p, "response" if ref is None else "revisit", -1 if ref is None else ref, len(raw), hashlib.sha256(raw).hexdigest()))
+    got_ids = sorted((-1 if r["page_id"] is None else r["page_id"], r["record_type"], -1 if r["refers_to"] is None else r["refers_to"], r["header_bytes"], r["header_digest"]) for r in got)
+    assert got_ids == sorted(want)
+    back = sorted((-1 if r["page_id"] is None else r["page_id"], r["record_type"], -1 if r["refers_to"] is None else r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.resolved(warc.read_archives(spark, str(tmp_path / "a"))).collect())
+    assert back == sorted(want)
     assert all(r["payload"] is None or hashlib.sha256(r["payload"]).hexdigest() == r["header_digest"] for r in got)
     warc.write(df.limit(0), str(tmp_path / "b"))
     assert warc.read_archives(spark, str(tmp_path / "b")).isEmpty()
 
 
+def test_warc_archives_end_by_bytes(spark, tmp_path):
+    noise = np.random.default_rng(3)
+    rows = [(i, "u", noise.bytes(30_000).hex()) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "a"), most=1 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part-*")]
+    assert len(sizes) > 1 and max(sizes) < 6 << 20
+    got = warc.read_archives(spark, str(tmp_path / "a")).select("page_id", "payload").collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got) == [(i, h) for i, _, h in rows]
+
+
 # HTML
 
 
@@ -236,7 +324,7 @@ def test_main_text(page, text):
     ('<body><div class="sidebar"><div class="page_nav_wrap"><article>a b</article></div></div></body>', "a b"),
     ('<body><div class="content-sidebar"><p>one long text here, longer than the rest<p>and more</div><div class="page-footer">f</div></body>', "one long text here, longer than the rest\nand more"),
     ("<body><article>short</article><div class='post-comments'><p>a much longer comment than the article is</div></body>", "short"),
-    ("<body><article>text of it</article><div class='related-posts'><article>card</article></div></body>", "text of it"),
+    ("<body><article>text of it</article><div class='sidebar'><article>card</article></div></body>", "text of it"),
     ("<body><section><p>short text</section><div class='comments'><article class=comment>a much longer comment</article></div></body>", "short text"),
     ("<body><section><p>the text itself</section><div class=sidebar>longer than the text is, by far</div></body>", "the text itself"),
 ])
@@ -244,9 +332,86 @@ def test_main_text_in_layouts(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><article><p>This is the text of it, long</p><p class='notice-period'>three months</p><div class='related'>and this</div></article></body>", "This is the text of it, long\nthree months\nand this"),
+    ("<body><article id=social-security><p>some text here</p><p>more</p></article></body> after it, longer", "some text here\nmore\nafter it, longer"),
+    ("<body><div><h1>Title</h1><div><p>one long text here</p><p>and another one here</p></div></div><div class=ad>buy</div></body>", "Title\none long text here\nand another one here"),
+    ("<p title=it's>it's 1 < 2</p>", "it's 1 < 2"), ("a < b <c", "a < b <c"), ("<p x='>'>y</p><p x=\">z", "y\nz"),
+])
+def test_main_text_drops_nothing_else(page, text):
+    assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div><p>", "<a \">", "<a x=\">", "<a x=\">\"", "<!-- ", "<header>", "<table><tr><td>", "<li>"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    at = time.process_time()
+    htmltext.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - at < 10
+
+
+def plain_densities(root):
+    """By node in page order: composite density and density sum, from the formula, by recursion over nested lists (tag, *children)."""
+    def text(x, linked=False, inside=False):
+        """Characters, or only those in links."""
+        if isinstance(x, str):
+            return len("".join(x.split())) if inside or not linked else 0
+        return sum(text(c, linked, inside or x[0] == "a") for c in x[1:])
+
+    def tags(x, only=False, inside=False):
+        return 0 if isinstance(x, str) else sum((not isinstance(c, str) and (not only or inside or c[0] == "a")) + tags(c, only, inside or (not isinstance(c, str) and c[0] == "a")) for c in x[1:])
+
+    import math
+
+    share = text(root, True) / text(root)
+    out = []
+
+    def visit(x, inside):
+        inside = inside or x[0] == "a"
+        c, t, lt = text(x), max(tags(x), 1), max(tags(x, True, inside), 1)
+        lc = c if inside else text(x, True)
+        d = c / t * math.log(c / max(lc, 1) * t / lt) / math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e)) if c else 0.0
+        k = len(out)
+        out.append([d, 0.0])
+        for child in x[1:]:
+            if not isinstance(child, str):
+                out[k][1] += visit(child, inside)
+        return d
+
+    visit(root, False)
+    return out
+
+
+def test_densities_equal_the_formula():
+    r = random.Random(8)
+
+    def grow(depth):
+        return [r.choice(["div", "section", "b", "a"]), *[grow(depth - 1) if depth and r.random() < 0.6 else "".join(r.choice("ab c") for _ in range(r.randrange(1, 40))) for _ in range(r.randrange(1, 5))]]
+
+    def shown(x):
+        return x if isinstance(x, str) else f"<{x[0]}>" + "".join(map(shown, x[1:])) + f"</{x[0]}>"
+
+    def text_in(x, link):
+        return bool(x.strip()) and link if isinstance(x, str) else any(text_in(c, link or x[0] == "a") for c in x[1:])
+
+    seen = 0
+    while seen < 40:
+        tree = ["body", *[grow(3) for _ in range(3)]]
+        if not text_in(tree, False):
+            continue
+        seen += 1
+        density, total = htmltext.Page(shown(tree)).densities()
+        want = plain_densities(tree)
+        assert len(density) == len(want) + 1
+        assert np.allclose(density[1:], [d for d, _ in want]) and np.allclose(total[1:], [t for _, t in want])
+
+
 def test_main_text_keeps_rows(spark):
-    df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (None, None, None)], "page_id long, html string, text string")
-    assert sorted(r["text"] for r in htmltext.extract(df).collect()) == ["", "a", "a"]
+    df = spark.createDataFrame([(1, "<p>a", "old", 3), (1, "<p>a", "old", 3), (None, None, None, 3)], "page_id long, html string, text string, row int")
+    got = htmltext.extract(df).collect()
+    assert sorted(r["text"] for r in got) == ["", "a", "a"] and {r["row"] for r in got} == {3}
+    assert htmltext.extract(df.limit(0)).isEmpty()
 
 
 # Near copies
