@@ -170,6 +170,13 @@ class UltraLogLog(Sketch):
         two = F.when(top >= 2, hashing.shru(F.col("posmask"), top - 2)).otherwise(hashing.shl(F.col("posmask"), 2 - top)).bitwiseAND(F.lit(3).cast("long"))
         return self.cells.select(*self.by, "idx", (top * 4 + two).cast("int").alias("register"))
 
+    def merge(self, other: Sketch) -> UltraLogLog:
+        """Sketches of unequal precision merge at the coarser one."""
+        if isinstance(other, UltraLogLog) and other.spec | {"p": 0} == self.spec | {"p": 0}:
+            p = min(self.spec["p"], other.spec["p"])
+            return super(UltraLogLog, self.coarser(p)).merge(other.coarser(p))
+        return super().merge(other)
+
     def count(self, out: str = "estimate") -> DataFrame:
         """By group, from the histogram of registers (at most 256 rows a group)."""
         p = self.spec["p"]
@@ -262,6 +269,10 @@ class ThetaSketch(Sketch):
         rows = cls.hashed(df, key, spec).select(*by, "h").distinct().withColumn("theta", hashing.whole(TWO64 - 1).cast("decimal(20,0)"))
         return cls(spec, cls.trim(rows, spec, by), by)
 
+    def combined(self, cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        """Distinct hashes below the least theta, trimmed again."""
+        return self.trim(self.fold(cells, by), self.spec, by)
+
     def _same(self, other: Sketch) -> None:
         if type(other) is not type(self) or other.spec != self.spec or other.by != self.by:
             raise ValueError("set operations need sketches of one kind, size, hash and grouping")
@@ -271,7 +282,7 @@ class ThetaSketch(Sketch):
 
     def union(self, other: Sketch) -> ThetaSketch:
         self._same(other)
-        return self.like(self.trim(self.fold(self.cells.unionByName(other.cells), self.by), self.spec, self.by))
+        return self.like(self.combined(self.cells.unionByName(other.cells), self.by))
 
     def _both(self, other: Sketch, how: str) -> DataFrame:
         self._same(other)
@@ -313,10 +324,9 @@ class TupleSketch(ThetaSketch):
         rows = cls.hashed(df, key, spec).select(*by, "h", v.alias("summary")).groupBy(*by, "h").agg(getattr(F, spec["policy"])("summary").alias("summary"))
         return cls(spec, cls.trim(rows.withColumn("theta", hashing.whole(TWO64 - 1).cast("decimal(20,0)")), spec, by), by)
 
-    def union(self, other: Sketch) -> TupleSketch:
-        self._same(other)
-        both = self.cells.unionByName(other.cells).groupBy(*self.by, "h").agg(F.min("theta").alias("theta"), getattr(F, self.spec["policy"])("summary").alias("summary"))
-        return self.like(self.trim(both, self.spec, self.by))
+    def combined(self, cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        folded = cells.groupBy(*by, "h").agg(F.min("theta").alias("theta"), getattr(F, self.spec["policy"])("summary").alias("summary"))
+        return self.trim(folded, self.spec, by)
 
     def total(self, out: str = "total") -> DataFrame:
         """The sum of the summaries, scaled from theta's share to all keys."""

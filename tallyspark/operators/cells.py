@@ -39,19 +39,23 @@ class Sketch:
     def fold(cls, rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
         return rows.groupBy(*by, *cls.KEYS).agg(*cls.folds()) if cls.FOLD else rows.select(*by, *cls.KEYS).distinct()
 
+    def combined(self, cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        """Cells of several sketches of this spec as those of one; kinds that clamp or trim do so here."""
+        return self.fold(cells, by)
+
     def like(self, cells: DataFrame) -> Sketch:
         return replace(self, cells=cells)
 
     def merge(self, other: Sketch) -> Sketch:
         if type(other) is not type(self) or other.spec != self.spec or other.by != self.by:
             raise ValueError(f"can't merge {self.KIND} {self.spec} {self.by} with {other.KIND} {other.spec} {other.by}")
-        return self.like(self.fold(self.cells.unionByName(other.cells), self.by))
+        return self.like(self.combined(self.cells.unionByName(other.cells), self.by))
 
     def rollup(self, *by: str) -> Sketch:
         """The sketch by fewer group columns."""
         if not set(by) <= set(self.by):
             raise ValueError(f"{by} are not all among {self.by}")
-        return replace(self, cells=self.fold(self.cells, by), by=by)
+        return replace(self, cells=self.combined(self.cells, by), by=by)
 
     def reset(self) -> Sketch:
         return self.like(self.cells.limit(0))

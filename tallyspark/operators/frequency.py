@@ -112,11 +112,21 @@ class SublimeCountMinSketch(Sketch):
         guards.positive("factor", factor)
         return {"depth": depth, "width": width, "growth": growth, "factor": factor, "hash": hash_name}
 
+    @staticmethod
+    def limit(spec: dict, width: int) -> int:
+        return math.ceil((width * spec["factor"]) ** (1 / spec["growth"]))
+
+    @classmethod
+    def shrinks_below(cls, spec: dict, epoch: int) -> int:
+        """The number of keys below which an epoch ends again: the middle between the limits of a half and a quarter of its width."""
+        half = spec["width"] << (epoch - 1)
+        return cls.limit(spec, half) // 2 + cls.limit(spec, max(1, half // 2)) // 2
+
     @staticmethod
     def limits(spec: dict, n: int) -> list[int]:
         """Numbers of keys at which the width doubles, up to n."""
         out, width = [], spec["width"]
-        while (limit := math.ceil((width * spec["factor"]) ** (1 / spec["growth"]))) <= n:
+        while (limit := SublimeCountMinSketch.limit(spec, width)) <= n:
             out.append(max(limit, out[-1] + 1 if out else limit))
             width *= 2
         return out
@@ -144,7 +154,37 @@ class SublimeCountMinSketch(Sketch):
     def estimate(self, keys: DataFrame, key: str, out: str = "estimate") -> DataFrame:
         asked = keys.where(F.col(key).isNotNull()).select(key).distinct().withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(self.spec["epochs"] - 1))))
         rows = self.placed(asked, key, self.spec).join(self.cells, ["epoch", "row", "col"], "left")
-        return rows.groupBy(key, "row").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("cnt")).groupBy(key).agg(F.min("cnt").alias(out))
+        sums = rows.groupBy(key, "row").agg(F.greatest(F.sum(F.coalesce("cnt", F.lit(0))), F.lit(0)).alias("cnt"))
+        return sums.groupBy(key).agg(F.min("cnt").alias(out))
+
+    def total(self) -> int:
+        """The number of keys held."""
+        return self.cells.where("row = 0").agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
+
+    def remove(self, df: DataFrame, key: str) -> SublimeCountMinSketch:
+        """Take the keys of ``df`` out, as often as they come: they are counted down in the last epoch. Keys that were never added leave
+        counts too low. The sketch then contracts as far as the keys that are left allow."""
+        last = self.spec["epochs"] - 1
+        keys = df.where(F.col(key).isNotNull()).groupBy(key).agg((-F.count("*")).alias("cnt")).withColumn("epoch", F.lit(last))
+        gone = self.placed(keys, key, self.spec).select("epoch", "row", "col", "cnt")
+        return self.like(self.fold(self.cells.select(*gone.columns).unionAll(gone), ())).contracted()
+
+    def contracted(self) -> SublimeCountMinSketch:
+        """Without the epochs whose width is no longer called for.
+
+        A row that folds back in half keeps what both halves gathered since they were doubled. These are the cells of the last epoch,
+        which go to the epoch before by their column modulo its width.
+        """
+        n = self.total()
+        left = self.spec["epochs"] - 1
+        while left and n < self.shrinks_below(self.spec, left):
+            left -= 1
+        if left == self.spec["epochs"] - 1:
+            return self
+        epoch = F.least("epoch", F.lit(left))
+        col = F.col("col").bitwiseAND(hashing.shl(F.lit(self.spec["width"]).cast("long"), epoch) - 1)
+        cells = self.fold(self.cells.select(epoch.alias("epoch"), "row", col.alias("col"), "cnt"), ())
+        return SublimeCountMinSketch(self.spec | {"epochs": left + 1}, cells)
 
 
 def top_k(df: DataFrame, key: str, k: int, spec: dict) -> DataFrame:
@@ -154,6 +194,14 @@ def top_k(df: DataFrame, key: str, k: int, spec: dict) -> DataFrame:
     return made.estimate(df, key).orderBy(F.col("estimate").desc(), F.col(key).asc()).limit(k)
 
 
+def merge_top_k(a: CountMinSketch, b: CountMinSketch, keys: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, estimate) of the k most frequent of ``keys`` in two streams together, from their merged sketches; ties by key.
+
+    ``keys`` are the candidates, as both sides' distinct keys or their own lists of frequent ones."""
+    guards.positive("k", k)
+    return a.merge(b).estimate(keys, key).orderBy(F.col("estimate").desc(), F.col(key).asc()).limit(k)
+
+
 class PrivateCountMinSketch(CountMinSketch):
     """A Count-Min sketch under rho-zCDP: every cell begins with Gaussian noise of variance depth / rho."""
 

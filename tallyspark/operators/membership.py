@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,12 +76,14 @@ class BloomFilter(Sketch):
         """``df`` with ``out``: whether the key was a member when its row was added, rows taken by ``order`` (unique).
 
         A position is set before a row if some row that sets it comes first; so the row is a member if the first setter of
-        each of its positions is earlier. Only first setters are joined back, no rows are collected.
+        each of its positions is earlier. After its first row a key is always a member, so only first rows are probed: the distinct
+        keys, not the rows, meet at the positions.
         """
-        rows = cls.hashed(df, key, spec)
-        setters = rows.select(F.explode("__p").alias("pos"), F.col(order).alias("__at")).groupBy("pos").agg(F.min("__at").alias("__first"))
-        asked = rows.select(order, F.explode("__p").alias("pos")).join(setters, "pos").groupBy(order).agg((F.max("__first") < F.col(order)).alias(out))
-        return df.join(asked, order, "left")
+        firsts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__at"))
+        rows = cls.hashed(firsts, key, spec).select(key, "__at", F.explode("__p").alias("pos"))
+        setters = rows.groupBy("pos").agg(F.min("__at").alias("__first"))
+        asked = rows.join(setters, "pos").groupBy(key, "__at").agg((F.max("__first") < F.col("__at")).alias("__was"))
+        return df.join(asked, key, "left").withColumn(out, (F.col(order) > F.col("__at")) | F.col("__was")).drop("__at", "__was")
 
 
 class BloomFilter64(BloomFilter):
@@ -142,13 +145,14 @@ class CountingBloomFilter(Sketch):
 
     @classmethod
     def build(cls, df: DataFrame, key: str, spec: dict, by: tuple[str, ...] = ()) -> CountingBloomFilter:
-        rows = BloomFilter.hashed(df, key, spec).select(*by, F.explode("__p").alias("pos"))
-        cells = rows.groupBy(*by, "pos").agg(F.least(F.count("*"), F.lit(spec["top"])).alias("cnt"))
+        """Keys are counted first, so each distinct key is hashed and spread once."""
+        keys = df.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.count("*").alias("__n"))
+        rows = BloomFilter.hashed(keys, key, spec).select(*by, F.explode("__p").alias("pos"), "__n")
+        cells = rows.groupBy(*by, "pos").agg(F.least(F.sum("__n"), F.lit(spec["top"])).alias("cnt"))
         return cls(spec, cells, by)
 
-    def merge(self, other: Sketch) -> CountingBloomFilter:
-        made = super().merge(other)
-        return made.like(made.cells.withColumn("cnt", F.least("cnt", F.lit(self.spec["top"]))))
+    def combined(self, cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return self.fold(cells, by).withColumn("cnt", F.least("cnt", F.lit(self.spec["top"])))
 
     def _asked(self, df: DataFrame, key: str) -> DataFrame:
         keys = df.where(F.col(key).isNotNull()).select(*self.by, key).distinct()
@@ -233,6 +237,12 @@ class QuotientFilter(Sketch):
         """By group, whether more fingerprints are held than there are slots: the filter must be sized anew."""
         return self.cells.groupBy(*self.by).agg((F.sum("cnt") > (1 << self.spec["q"])).alias("full"))
 
+    def checked(self) -> QuotientFilter:
+        """The filter itself, or an error if a group holds more fingerprints than it has slots."""
+        if not self.full().where("full").isEmpty():
+            raise ValueError(f"more fingerprints than the {1 << self.spec['q']} slots; size the filter anew")
+        return self
+
     def test(self, df: DataFrame, key: str, out: str = "member") -> DataFrame:
         q, r = self.fingerprint(self.spec, F.col(key))
         mine = self.cells.select(*self.by, F.col("quotient").alias("__q"), F.col("remainder").alias("__r"), F.lit(True).alias(out))
@@ -269,7 +279,8 @@ class ScalableBloomFilter(Sketch):
         """(spec, first place, end) of the filters that n keys need."""
         out, at = [], 0
         while at < n or not out:
-            one = PartitionedBloomFilter.sized(spec["hint"], spec["fp"] * spec["r"] ** len(out), spec["hash"])
+            rate = max(spec["fp"] * spec["r"] ** len(out), sys.float_info.min)  # after thousands of filters, the least there is
+            one = PartitionedBloomFilter.sized(spec["hint"], rate, spec["hash"])
             size = math.ceil(one["slice"] * math.log(2))
             out.append((one, at, at + size))
             at += size

@@ -50,6 +50,12 @@ def var_opt(df: DataFrame, weight: str, k: int, id_col: str, seed: int = 1, out:
     return rows.where(F.col("__w") >= heavy).withColumn(out, F.col("__w")).select(*df.columns, out).unionByName(light)
 
 
+def merge_samples(a: DataFrame, b: DataFrame, k: int, id_col: str, seed: int = 1, out: str = "adjusted") -> DataFrame:
+    """One sample of at most k rows from two, whose rows stand for the weights ``out``: the total of both is kept."""
+    both = a.unionByName(b).withColumnRenamed(out, "__stood")
+    return var_opt(both, "__stood", k, id_col, seed, out).drop("__stood")
+
+
 def estimate_subset(sample: DataFrame, predicate: str, out: str = "adjusted") -> DataFrame:
     """The weight of the rows for which ``predicate`` (SQL) holds, in one row."""
     return sample.where(predicate).agg(F.coalesce(F.sum(out), F.lit(0.0)).alias("weight"))

@@ -31,16 +31,17 @@ class SlidingWindow:
         return kind.build(rows, key, spec, ("bucket", *by))
 
     def merged(self, sketch: Sketch) -> Sketch:
-        """The sketch of the window that ends with each bucket: cells go to the windows they are in, and fold again."""
+        """The sketch of the window that ends with each bucket: cells go to the windows they are in, and merge as the sketch
+        does."""
         ends = F.explode(F.sequence(F.col("bucket"), F.col("bucket") + self.buckets - 1))
         live = sketch.cells.select("bucket").distinct()
         cells = sketch.cells.withColumn("__end", ends).drop("bucket").withColumnRenamed("__end", "bucket").join(live, "bucket", "left_semi")
-        return replace(sketch, cells=sketch.fold(cells, sketch.by))
+        return replace(sketch, cells=sketch.combined(cells, sketch.by))
 
     def at(self, sketch: Sketch, end_bucket: int) -> Sketch:
         """The sketch of one window, without the bucket."""
         cells = sketch.cells.where(F.col("bucket").between(end_bucket - self.buckets + 1, end_bucket))
         by = tuple(b for b in sketch.by if b != "bucket")
-        return replace(sketch, cells=sketch.fold(cells, by), by=by)
+        return replace(sketch, cells=sketch.combined(cells, by), by=by)
 
 

@@ -110,13 +110,15 @@ def bloom_bits(spark: SparkSession, d: str) -> DataFrame:
     return memb.BloomFilter.build(table(spark, d, "orders"), "o_custkey", BLOOM).positions().select("pos")
 
 
-@query("SELECT count(*) AS n_true, 0::BIGINT AS n_false_negative FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("SELECT count(*) AS n_true, 0::BIGINT AS n_false_negative, true AS few_false FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def bloom_semi_join(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
     n = keys.count()
     lines = memb.BloomFilter.build(keys, "k", memb.BloomFilter.sized(max(n, 1), 0.01, "xxhash64")).test(table(spark, d, "lineitem").select("l_orderkey").withColumnRenamed("l_orderkey", "k"), "k")
-    lines = lines.join(keys.distinct(), "k", "left_semi")
-    return lines.agg(F.count("*").alias("n_true"), F.count_if(~F.col("member")).alias("n_false_negative"))
+    lines = lines.join(keys.distinct().withColumn("own", F.lit(True)), "k", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    # Of the rows that the filter lets through, those with a partner; and few without one.
+    few = F.count_if(F.col("member") & ~F.col("own")) <= 0.03 * F.count_if(~F.col("own")) + 20
+    return lines.agg(F.count_if(F.col("member") & F.col("own")).alias("n_true"), F.count_if(~F.col("member") & F.col("own")).alias("n_false_negative"), few.alias("few_false"))
 
 
 @query(f"""
@@ -155,13 +157,29 @@ def counting_cells(spark: SparkSession, d: str) -> DataFrame:
     return memb.CountingBloomFilter.build(table(spark, d, "lineitem"), "l_partkey", COUNTING).cells
 
 
-@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS n_missing FROM supplier WHERE s_suppkey % 2 = 0")
+def few_strangers(made, rows: DataFrame, key: str, rate: float) -> DataFrame:  # noqa: ANN001
+    """One row: whether a filter takes at most ``rate`` (with three deviations) of keys that were never added for members."""
+    strangers = rows.select((F.col(key) + (1 << 40)).alias(key)).distinct()
+    got = made.test(strangers, key).agg(F.count("*").alias("n"), F.count_if("member").alias("x"))
+    return got.select((F.col("x") <= rate * F.col("n") + 3 * F.sqrt(rate * F.col("n")) + 3).alias("few_false"))
+
+
+@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS n_missing, true AS few_false FROM supplier WHERE s_suppkey % 2 = 0")
 def counting_remove(spark: SparkSession, d: str) -> DataFrame:
-    """After half of the keys went, none of the others is missing."""
+    """After half of the keys went, none of the others is missing, and few of those that went are found."""
     s = table(spark, d, "supplier").select("s_suppkey")
     spec = memb.CountingBloomFilter.sized(max(s.count(), 1), 0.01, 8)
     left = memb.CountingBloomFilter.build(s, "s_suppkey", spec).remove(s.where("s_suppkey % 2 = 1"), "s_suppkey")
-    return left.test(s.where("s_suppkey % 2 = 0"), "s_suppkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing"))
+    gone = left.test(s.where("s_suppkey % 2 = 1"), "s_suppkey").agg((F.count_if("member") <= 0.02 * F.count("*") + 3).alias("few_false"))
+    return left.test(s.where("s_suppkey % 2 = 0"), "s_suppkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing")).withColumn("few_false", gone.scalar())
+
+
+@query(f"""
+WITH h AS (SELECT l_returnflag, {words('l_partkey')} FROM lineitem), p AS (SELECT l_returnflag, {probe('i', COUNTING['m'])} AS pos FROM h, {series(COUNTING['k'])}),
+c AS (SELECT l_returnflag, pos, least(count(*), 15) AS cnt FROM p GROUP BY ALL) SELECT pos, least(sum(cnt), 15)::BIGINT AS cnt FROM c GROUP BY pos""")
+def counting_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Built by flag and rolled up: counters stick at their top."""
+    return memb.CountingBloomFilter.build(table(spark, d, "lineitem"), "l_partkey", COUNTING, ("l_returnflag",)).rollup().cells
 
 
 DELETABLE = memb.DeletableBloomFilter.sized(100, 0.01, 40)
@@ -197,11 +215,12 @@ def scalable_fill(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("filter").agg(F.count("*").alias("n_items"))
 
 
-@query("SELECT count(*) AS n, 0::BIGINT AS n_missing FROM events")
+@query("SELECT count(*) AS n, 0::BIGINT AS n_missing, true AS few_false FROM events")
 def scalable_members(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").select("event_id")
     made = memb.ScalableBloomFilter.build(ev, "event_id", "event_id", memb.ScalableBloomFilter.sized(2000, 0.01))
-    return made.test(ev, "event_id").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing"))
+    few = few_strangers(made, ev, "event_id", 0.05)
+    return made.test(ev, "event_id").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing")).withColumn("few_false", few.scalar())
 
 
 @query(f"WITH h AS (SELECT event_id, user_id, {words('user_id')} FROM events) SELECT event_id, coalesce(lag(user_id) OVER (PARTITION BY lo % 64 ORDER BY event_id) = user_id, false) AS seen FROM h")
@@ -246,28 +265,32 @@ def infini_cells(spark: SparkSession, d: str) -> DataFrame:
     return rng.InfiniFilter.build(table(spark, d, "orders"), "o_orderkey", "o_orderkey", INFINI).cells
 
 
-@query("SELECT count(*) AS n, 0::BIGINT AS n_missing FROM orders WHERE o_orderkey % 3 <> 0")
+@query("SELECT count(*) AS n, 0::BIGINT AS n_missing, true AS few_false FROM orders WHERE o_orderkey % 3 <> 0")
 def infini_members(spark: SparkSession, d: str) -> DataFrame:
     """After a third of the keys went, none of the others is missing."""
     keys = table(spark, d, "orders").select("o_orderkey")
     made = rng.InfiniFilter.build(keys, "o_orderkey", "o_orderkey", rng.InfiniFilter.sized(1024, 16)).remove(keys.where("o_orderkey % 3 = 0"), "o_orderkey")
-    return made.test(keys.where("o_orderkey % 3 <> 0"), "o_orderkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing"))
+    few = few_strangers(made, keys, "o_orderkey", 0.01)
+    return made.test(keys.where("o_orderkey % 3 <> 0"), "o_orderkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing")).withColumn("few_false", few.scalar())
 
 
-@query("SELECT count(*) AS n_events, 0::BIGINT AS n_new_called_old FROM events")
+@query("SELECT count(*) AS n_events, 0::BIGINT AS n_new_called_old, true AS most_repeats FROM events")
 def stable_dedup(spark: SparkSession, d: str) -> DataFrame:
     """A filter far larger than the keys it meets: no first event of a user is called a repeat."""
     rows = folds.StableBloomFilter.test_and_add(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", folds.StableBloomFilter.sized(1 << 20, 3, 0.0001, 4))
     first = rows.groupBy("user_id").agg(F.min("event_id").alias("event_id")).withColumn("first", F.lit(True))
     rows = rows.join(first, ["user_id", "event_id"], "left")
-    return rows.agg(F.count("*").alias("n_events"), F.count_if(F.col("first") & F.col("member")).alias("n_new_called_old"))
+    again = F.count_if(F.col("first").isNull())
+    most = F.count_if(F.col("first").isNull() & F.col("member")) >= 0.9 * again
+    return rows.agg(F.count("*").alias("n_events"), F.count_if(F.col("first") & F.col("member")).alias("n_new_called_old"), most.alias("most_repeats"))
 
 
-@query("SELECT count(*) AS n, 0::BIGINT AS n_missing FROM customer")
+@query("SELECT count(*) AS n, 0::BIGINT AS n_missing, true AS few_false FROM customer")
 def fuse_members(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "customer").select("c_custkey")
     made = stat.BinaryFuseFilter.build(keys, "c_custkey", stat.BinaryFuseFilter.sized(max(keys.count(), 1), 16))
-    return made.test(keys, "c_custkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing"))
+    few = few_strangers(made, keys, "c_custkey", 0.001)
+    return made.test(keys, "c_custkey").agg(F.count("*").alias("n"), F.count_if(~F.col("member")).alias("n_missing")).withColumn("few_false", few.scalar())
 
 
 @query("SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer")
@@ -395,6 +418,64 @@ def tuple_total(spark: SparkSession, d: str) -> DataFrame:
     return made.count().join(made.total(), "o_orderstatus").select("o_orderstatus", "estimate", F.round("total", 2).alias("total"))
 
 
+def _theta_parts(source: str, by: str, key: str, k: int, value: str = "0") -> str:
+    """SQL: the sketch of each group as (g, h, v, theta), by its hashes' ranks."""
+    return f"""
+s AS (SELECT g, hi::HUGEINT * 4294967296 + lo AS h, sum(v) AS v FROM (SELECT {by} AS g, {value} AS v, {words(key)} FROM {source}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY h) AS n, count(*) OVER (PARTITION BY g) AS c FROM s),
+th AS (SELECT g, coalesce(max(CASE WHEN c >= {2 * k} AND n = {k + 1} THEN h END), 18446744073709551615::HUGEINT) AS theta FROM r GROUP BY g),
+kept AS (SELECT s.g, h, v, theta FROM s JOIN th USING (g) WHERE h < theta)"""
+
+
+def _theta_merged(cells: str, by: str, k: int) -> str:
+    """SQL: what the sketches ``cells`` (by, h, v, theta) make together, again by groups."""
+    return f"""
+lo_ AS (SELECT {by}, min(theta) AS low FROM {cells} GROUP BY ALL),
+u AS (SELECT {by}, h, sum(v) AS v, any_value(low) AS low FROM {cells} JOIN lo_ USING ({by}) WHERE h < low GROUP BY {by}, h),
+ru AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY h) AS n, count(*) OVER (PARTITION BY {by}) AS c FROM u),
+tu AS (SELECT {by}, coalesce(max(CASE WHEN c >= {2 * k} AND n = {k + 1} THEN h END), any_value(low)) AS theta FROM ru GROUP BY ALL),
+x AS (SELECT u.*, theta FROM u JOIN tu USING ({by}) WHERE h < theta)"""
+
+
+THETA_COUNT = "CASE WHEN min(theta) = 18446744073709551615::HUGEINT THEN count(*) ELSE round_even(count(*) * 18446744073709551616.0::DOUBLE / min(theta)::DOUBLE, 0) END::BIGINT"
+
+
+@query(f"WITH {_theta_parts('orders', 'o_orderstatus', 'o_orderkey', 64)}, one AS (SELECT 1 AS a, h, v, theta FROM kept), {_theta_merged('one', 'a', 64)} SELECT {THETA_COUNT} AS estimate FROM x")
+def theta_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches by status that are trimmed each, rolled up to one that is trimmed again."""
+    return card.ThetaSketch.build(table(spark, d, "orders"), "o_orderkey", card.ThetaSketch.sized(64), ("o_orderstatus",)).rollup().count()
+
+
+@query(f"""
+WITH {_theta_parts('orders', 'o_orderstatus', 'o_custkey', 64, 'o_totalprice')}, one AS (SELECT 1 AS a, h, v, theta FROM kept), {_theta_merged('one', 'a', 64)}
+SELECT {THETA_COUNT} AS estimate, round(sum(v) / (min(theta)::DOUBLE / 18446744073709551615.0::DOUBLE), 0)::BIGINT AS total FROM x""")
+def tuple_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Prices by customer and status, of the customers that are kept, rolled up."""
+    made = card.TupleSketch.build(table(spark, d, "orders"), "o_custkey", card.TupleSketch.sized(64), ("o_orderstatus",), value="o_totalprice").rollup()
+    return made.count().crossJoin(made.total()).select("estimate", F.round("total", 0).cast("long").alias("total"))  # one row each
+
+
+@query(f"""
+WITH {_theta_parts('events', 'epoch_us(ts) // 86400000000', 'event_id', 64)},
+w AS (SELECT e.g AS e, h, v, theta FROM (SELECT DISTINCT g FROM kept) e JOIN kept ON kept.g BETWEEN e.g - 2 AND e.g), {_theta_merged('w', 'e', 64)}
+SELECT e AS bucket, {THETA_COUNT} AS estimate FROM x GROUP BY e""")
+def theta_window(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the last three days at the end of each day, by sketches that are trimmed."""
+    window = SlidingWindow(3 * 86400, 3)
+    made = window.build(card.ThetaSketch, table(spark, d, "events").select("ts", "event_id"), "ts", "event_id", card.ThetaSketch.sized(64))
+    return window.merged(made).count()
+
+
+@query(f"""
+WITH h AS (SELECT o_orderkey % 2 AS side, {words('o_custkey')} FROM orders),
+c AS (SELECT hi >> 24 AS idx, bit_or(1::BIGINT << ({nlz(8)} + 7)) AS posmask FROM h GROUP BY 1) SELECT * FROM c""")
+def ull_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Halves of a table at unequal precisions, merged: the registers of the whole at the coarser one."""
+    orders = table(spark, d, "orders")
+    a, b = (card.UltraLogLog.build(orders.where(F.col("o_orderkey") % 2 == x), "o_custkey", card.UltraLogLog.sized(8 + 2 * x)) for x in (0, 1))
+    return a.merge(b).cells
+
+
 # Reconciliation
 
 
@@ -472,12 +553,46 @@ def top_k(spark: SparkSession, d: str) -> DataFrame:
     return freq.top_k(table(spark, d, "lineitem"), "l_suppkey", 10, CMS)
 
 
-@query("SELECT 10::BIGINT AS n, 0::BIGINT AS n_over")
+def _sublime_left_sql() -> str:
+    """Estimates after two thirds of the rows went: cells of the last epoch less theirs, folded to the width that is left."""
+    limits = freq.SublimeCountMinSketch.limits(SUBLIME, 100_000_000)
+    case = " ".join(f"WHEN place >= {x} THEN {e + 1}" for e, x in reversed(list(enumerate(limits))))
+    stays = " + ".join(f"(n_left >= {freq.SublimeCountMinSketch.shrinks_below(SUBLIME, e + 1)} AND n_all >= {x})::INT" for e, x in enumerate(limits))
+    return f"""
+WITH r AS (SELECT o_orderkey, o_custkey, CASE {case} ELSE 0 END AS epoch, {words('o_custkey')} FROM (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)),
+z AS (SELECT n_all, n_left, {stays} AS top FROM (SELECT count(*) AS n_all, count(*) FILTER (o_orderkey % 3 = 0) AS n_left FROM r)),
+m AS (SELECT max(epoch) AS last FROM r),
+g AS (SELECT o_custkey, hi, lo, epoch, 1 AS n FROM r UNION ALL SELECT o_custkey, hi, lo, last, -1 FROM r, m WHERE o_orderkey % 3 <> 0),
+c AS (SELECT least(epoch, top) AS epoch, i, (lo + hi * i) & ((64::BIGINT << least(epoch, top)) - 1) AS col, sum(n) AS cnt FROM g, z, {series(4)} GROUP BY ALL),
+k AS (SELECT DISTINCT o_custkey, hi, lo FROM r), e AS (SELECT unnest(range(top + 1)) AS epoch FROM z),
+s AS (SELECT o_custkey, i, greatest(sum(coalesce(cnt, 0)), 0) AS cnt FROM (SELECT o_custkey, epoch, i, (lo + hi * i) & ((64::BIGINT << epoch::INT) - 1) AS col FROM k, e, {series(4)}) LEFT JOIN c USING (epoch, i, col) GROUP BY ALL)
+SELECT o_custkey, min(cnt)::BIGINT AS estimate FROM s GROUP BY 1"""
+
+
+@query(_sublime_left_sql())
+def sublime_remove(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the rows go again, and the sketch contracts."""
+    orders = table(spark, d, "orders")
+    made = freq.SublimeCountMinSketch.build(orders, "o_custkey", "o_orderkey", SUBLIME)
+    return made.remove(orders.where("o_orderkey % 3 <> 0"), "o_custkey").estimate(orders, "o_custkey")
+
+
+@query(f"""
+WITH h AS (SELECT l_suppkey, {words('l_suppkey')} FROM lineitem), p AS (SELECT l_suppkey, i, {probe('i', CMS['width'])} AS col FROM h, {series(CMS['depth'])}),
+c AS (SELECT i, col, count(*) AS cnt FROM p GROUP BY ALL), e AS (SELECT l_suppkey, min(cnt) AS estimate FROM (SELECT DISTINCT * FROM p) JOIN c USING (i, col) GROUP BY 1)
+SELECT l_suppkey, estimate FROM e ORDER BY estimate DESC, l_suppkey LIMIT 20""")
+def top_k_merge(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    a, b = (freq.CountMinSketch.build(lines.where(F.col("l_orderkey") % 2 == x), "l_suppkey", CMS) for x in (0, 1))
+    return freq.merge_top_k(a, b, lines.select("l_suppkey").distinct(), "l_suppkey", 20)
+
+
+@query("SELECT 10::BIGINT AS n, 0::BIGINT AS n_over, true AS not_far_under")
 def heavy_keeper_not_over(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").select("user_id", "event_id")
     found = folds.heavy_keeper(ev, "user_id", "event_id", 10)
     true = ev.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.count("*").alias("n"))
-    return found.join(true, "user_id", "left").agg(F.count("*").alias("n"), F.count_if(F.col("estimate") > F.coalesce(F.col("n"), F.lit(0))).alias("n_over"))
+    return found.join(true, "user_id", "left").agg(F.count("*").alias("n"), F.count_if(F.col("estimate") > F.coalesce(F.col("n"), F.lit(0))).alias("n_over"), F.bool_and(F.col("estimate") >= 0.5 * F.col("n")).alias("not_far_under"))
 
 
 @query("SELECT true AS within, true AS complete")
@@ -578,7 +693,7 @@ def minhash_error(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.join(true, ["a", "b"], "left")
     exact = F.col("n_common") / F.greatest(F.col("n_a") + F.col("n_b") - F.col("n_common"), F.lit(1))
     error = F.abs(similarity.MinHash.similarity(F.col("s0"), F.col("s1")) - exact)
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(error) < 0.09, F.lit(True)).alias("close"))
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(error) < 0.09, F.lit(False)).alias("close"))
 
 
 @query(f"""
@@ -647,6 +762,14 @@ def varopt_total(spark: SparkSession, d: str) -> DataFrame:
     return sample.agg(F.count("*").alias("n"), F.round(F.sum("adjusted")).cast("long").alias("total"))
 
 
+@query("SELECT least(150, count(*))::BIGINT AS n, round(sum(o_totalprice))::BIGINT AS total FROM orders")
+def varopt_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of the halves of a table, merged: as many rows as asked for, and the total of both."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    a, b = (sampling.var_opt(orders.where(F.col("o_orderkey") % 2 == x), "o_totalprice", 200, "o_orderkey") for x in (0, 1))
+    return sampling.merge_samples(a, b, 150, "o_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("adjusted")).cast("long").alias("total"))
+
+
 @query("SELECT true AS close")
 def varopt_subset(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")

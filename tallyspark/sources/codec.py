@@ -56,9 +56,10 @@ def opened(raw: bytes, limit: int = LIMIT) -> tuple[str, str, bytes]:
 
 def to_bytes(sketch: Sketch) -> bytes:
     """One sketch as bytes. Its cells come to the driver, so their size is looked at first."""
-    rows = sketch.cells.count()
-    if rows * 16 > LIMIT:
-        raise ValueError(f"{rows} cells are too many for one envelope; write the sketch as a table")
+    wide = [F.octet_length(c) if t in ("string", "binary") else F.size(c) * 8 if t.startswith("array") else F.lit(8) for c, t in sketch.cells.dtypes]
+    size = sketch.cells.agg(F.sum(sum(wide[1:], wide[0]))).first()[0] or 0
+    if size > LIMIT:
+        raise ValueError(f"{size} bytes of cells are too many for one envelope; write the sketch as a table")
     sink = io.BytesIO()
     table = sketch.cells.toArrow()
     with pa.ipc.new_stream(sink, table.schema) as w:
@@ -79,6 +80,35 @@ def from_bytes(spark: SparkSession, kind: type[Sketch], raw: bytes) -> Sketch:
     return kind(head["spec"], spark.createDataFrame(table), tuple(head["by"]))
 
 
+def nested(parts: dict[str, Sketch]) -> bytes:
+    """Several sketches in one envelope, each in an envelope of its own under its name."""
+    packed = {name: to_bytes(s) for name, s in parts.items()}
+    payload = struct.pack("<I", len(packed)) + b"".join(_named(n) + struct.pack("<I", len(x)) + x for n, x in packed.items())
+    if len(payload) > LIMIT:
+        raise ValueError("too long for one envelope")
+    return envelope("nested", "none", payload)
+
+
+def from_nested(spark: SparkSession, raw: bytes, kinds: dict[str, type[Sketch]]) -> dict[str, Sketch]:
+    """The way back; ``kinds`` tells what each name holds. Envelopes within are checked like any other."""
+    kind, _, payload = opened(raw)
+    if kind != "nested":
+        raise ValueError(f"holds a {kind}, not several sketches")
+    out, at = {}, 4
+    for _ in range(struct.unpack_from("<I", payload)[0]):
+        n = struct.unpack_from("<H", payload, at)[0]
+        name = payload[at + 2 : at + 2 + n].decode()
+        at += 2 + n
+        size = struct.unpack_from("<I", payload, at)[0]
+        if name not in kinds:
+            raise ValueError(f"{name!r} is not asked for")
+        out[name] = from_bytes(spark, kinds[name], payload[at + 4 : at + 4 + size])
+        at += 4 + size
+    if at != len(payload) or out.keys() != kinds.keys():
+        raise ValueError("the parts don't fill the envelope")
+    return out
+
+
 def pack_groups(sketch: Sketch, out: str = "envelope") -> DataFrame:
     """A grouped sketch as a table (by, envelope): each group's cells in an envelope of their own, packed where they are."""
     by, kind, hash_name = list(sketch.by), sketch.KIND, sketch.spec.get("hash", "none")

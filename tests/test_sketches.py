@@ -42,6 +42,7 @@ MERGED = [
     (membership.DeletableBloomFilter, "k", membership.DeletableBloomFilter.sized(3000, 0.01, 40)), (membership.QuotientFilter, "few", membership.QuotientFilter.sized(3000, 0.01)),
     (cardinality.HyperLogLog, "k", cardinality.HyperLogLog.sized(256)), (cardinality.HyperLogLogPlus, "k", cardinality.HyperLogLogPlus.sized(8)),
     (cardinality.UltraLogLog, "k", cardinality.UltraLogLog.sized(8)), (cardinality.ThetaSketch, "k", cardinality.ThetaSketch.sized(4096)),
+    (cardinality.ThetaSketch, "few", cardinality.ThetaSketch.sized(64)),
     (frequency.CountMinSketch, "few", frequency.CountMinSketch.sized(0.01, 0.01)), (frequency.CountSketch, "few", frequency.CountSketch.sized(0.1, 0.01)),
     (quantiles.DDSketch, "k", quantiles.DDSketch.sized(0.01)), (reconcile.InvertibleBloomLookupTable, "k", reconcile.InvertibleBloomLookupTable.sized(10)),
 ]
@@ -56,12 +57,74 @@ def test_merge_is_the_sketch_of_the_union(keys, kind, key, spec):
         a.merge(kind.build(keys, key, spec))
 
 
-@pytest.mark.parametrize(("kind", "key", "spec"), [m for m in MERGED if m[0] not in (membership.CountingBloomFilter, cardinality.ThetaSketch)], ids=lambda x: getattr(x, "KIND", ""))
+@pytest.mark.parametrize(("kind", "key", "spec"), MERGED, ids=lambda x: getattr(x, "KIND", ""))
 def test_rollup_is_the_sketch_without_groups(keys, kind, key, spec):
     rolled = kind.build(keys, key, spec, ("g",)).rollup().cells
     assert same(rolled, kind.build(keys, key, spec).cells.select(rolled.columns))
 
 
+def plain_theta(groups, k, theta=(1 << 64) - 1):
+    """Sketches of sets of hashes, then their union, each trimmed by the rule."""
+    def trimmed(hashes, low):
+        kept = sorted(h for h in hashes if h < low)
+        theta = kept[k] if len(kept) >= 2 * k else low
+        return {h for h in kept if h < theta}, theta
+
+    parts = [trimmed(g, theta) for g in groups]
+    return trimmed(set().union(*(p for p, _ in parts)), min(t for _, t in parts))
+
+
+@pytest.mark.parametrize("kind", [cardinality.ThetaSketch, cardinality.TupleSketch])
+def test_trimmed_sketches_merge_as_sets(spark, kind):
+    """Groups of 30 and 10,000 keys, k = 16: rollup, merge and window trim by the smaller theta."""
+    df = spark.range(10_030).select("id", (F.col("id") >= 30).cast("long").alias("g"), F.lit(2.0).alias("value"))
+    spec = kind.sized(16)
+    hashes = {g: {int(r["h"]) for r in cardinality.ThetaSketch.hashed(df.where(F.col("g") == g), "id", spec).select("h").collect()} for g in (0, 1)}
+    want, theta = plain_theta(hashes.values(), 16)
+    grouped = kind.build(df, "id", spec, ("g",))
+    a, b = (kind.build(df.where(F.col("g") == g), "id", spec) for g in (0, 1))
+    window = windows.SlidingWindow(2, 2)
+    shifted = kind(spec, grouped.cells.withColumnRenamed("g", "bucket"), ("bucket",))
+    for made in (grouped.rollup(), a.merge(b), window.at(shifted, 1)):
+        cells = made.cells.collect()
+        assert {int(r["h"]) for r in cells} == want and {int(r["theta"]) for r in cells} == {theta}
+    assert {int(r["h"]) for r in window.merged(shifted).cells.where("bucket = 1").collect()} == want
+    if kind is cardinality.TupleSketch:
+        assert math.isclose(grouped.rollup().total().first()[0], 2.0 * len(want) * ((1 << 64) - 1) / theta)
+
+
+def test_counters_stick_when_rolled_up(spark):
+    df = spark.range(60).select((F.col("id") % 2).alias("k"), (F.col("id") % 4).alias("g"))
+    made = membership.CountingBloomFilter.build(df, "k", membership.CountingBloomFilter.sized(10, 0.01), ("g",)).rollup()
+    assert made.cells.agg(F.max("cnt")).first()[0] == 15
+
+
+def test_overfull_quotient_filter_is_refused(keys):
+    made = membership.QuotientFilter.build(keys, "k", membership.QuotientFilter.sized(100, 0.01))
+    with pytest.raises(ValueError, match="slots"):
+        made.checked()
+    assert membership.QuotientFilter.build(keys, "k", membership.QuotientFilter.sized(6000, 0.01)).checked()
+
+
+def test_scalable_filters_of_many_keys():
+    spec = membership.ScalableBloomFilter.sized()
+    made = membership.ScalableBloomFilter.filters(spec, 40_000_000)
+    assert made[-1][2] >= 40_000_000 and len(made) > 3000
+
+
+def test_test_and_add_row_by_row(spark):
+    rows = [(i, (i * 7) % 40 if i % 9 else None) for i in range(300)]
+    spec = membership.BloomFilter.sized(12, 0.3)
+    df = spark.createDataFrame(rows, "at long, k long")
+    probes = {r["k"]: r["__p"] for r in membership.BloomFilter.hashed(df.select("k").distinct(), "k", spec).collect()}
+    bits, want = set(), {}
+    for i, k in rows:
+        want[i] = None if k is None else set(probes[k]) <= bits
+        bits |= set(probes.get(k, []))
+    got = {r["at"]: r["member"] for r in membership.BloomFilter.test_and_add(df, "k", "at", spec).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("kind", [membership.BloomFilter, membership.PartitionedBloomFilter, membership.BloomFilter64])
 def test_filters_miss_no_key_and_refuse_most_others(spark, keys, kind):
     made = kind.build(keys, "k", kind.sized(3000, 0.01))
@@ -128,6 +191,15 @@ def test_frequency(keys):
     assert heavy.first()["few"] == "7"
 
 
+def test_sublime_contracts(keys):
+    made = frequency.SublimeCountMinSketch.build(keys, "few", "id", frequency.SublimeCountMinSketch.sized(width=8))
+    small = made.remove(keys.where("id >= 100"), "few")
+    assert 1 <= small.spec["epochs"] < made.spec["epochs"] and small.total() == 100
+    assert small.estimate(keys, "few").where("estimate < 2").isEmpty()
+    none = made.remove(keys, "few")
+    assert none.spec["epochs"] == 1 and none.estimate(keys, "few").where("estimate > 0").isEmpty()
+
+
 def test_places_without_one_task(keys):
     got = membership.with_place(keys.select("id"), "id", rows=100)
     assert got.where("place <> id").isEmpty()
@@ -227,6 +299,14 @@ def test_codec_and_tables(spark, keys, tmp_path):
             codec.opened(bad)
     with pytest.raises(ValueError):
         codec.from_bytes(spark, membership.BloomFilter, raw)
+    other = cardinality.ThetaSketch.build(keys, "k", cardinality.ThetaSketch.sized(64))
+    kinds = {"a": cardinality.HyperLogLog, "b": cardinality.ThetaSketch}
+    both = codec.nested({"a": made, "b": other})
+    parts = codec.from_nested(spark, both, kinds)
+    assert same(parts["a"].cells, made.cells) and same(parts["b"].cells.select("h", "theta"), other.cells.select("h", "theta"))
+    for bad, asked in ((both[:-1], kinds), (both, {"a": cardinality.HyperLogLog}), (raw, kinds), (both, kinds | {"c": cardinality.HyperLogLog})):
+        with pytest.raises(ValueError):
+            codec.from_nested(spark, bad, asked)
     tables.save(made, str(tmp_path / "s"))
     back = tables.load(spark, cardinality.HyperLogLog, str(tmp_path / "s"))
     assert back.spec == made.spec
