@@ -4,8 +4,13 @@ Equal vectors of a label are one class. A coarse k-means deals the classes to in
 centroid is coded by sub-space. A vector looks into every list whose border may lie within half the link distance: of
 two vectors that near, one lies at most that far from the border between their cells, so one of them finds the other
 and no link is lost to the lists. In a list, the table-lookup distance less the code's own error bounds the true
-distance from below; what may be near is ranked again by exact cosine in double precision. Lists are cut in blocks of
-members and of visitors, so no list is gathered in one task; a block returns counts and a spanning forest, not pairs.
+distance from below; what may be near is ranked again by exact cosine in double precision.
+
+The first lists are as many as the table needs for PER_LIST vectors each, up to LISTS, since every executor holds their centroids. A list
+that has more than MEMBERS is dealt anew, with centroids of its own that only its rows meet: a member goes to one smaller list, a visitor to
+all whose border lies within the whole link distance, so it finds each member that near. This goes on until lists are
+small; one that doesn't fall apart, as its vectors are all near each other, is cut in blocks of members and of visitors. So no list is gathered
+in one task; a block returns counts and a spanning forest, not pairs.
 """
 
 from __future__ import annotations
@@ -18,13 +23,17 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read
+from .common import components, cut, lean, read
 
 #: Vectors that centroids and codes are fitted on, at most; all vectors are indexed.
 SAMPLE = 20_000
-LISTS = 2048
+PER_LIST, LISTS = 256, 2048
 CODES = 32
+#: Members and visitors of a block; a list of more members is dealt anew, from a sample of about AGAIN of them, in SPLIT lists at most.
 MEMBERS, VISITORS = 1024, 8192
+AGAIN, SPLIT, ROUNDS = 2048, 64, 6
+#: Vectors of a length that this few have are one list without codes.
+RARE = 512
 EPS = 1e-9
 
 
@@ -64,15 +73,23 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 def fit(sample: np.ndarray, n: int, seed: int = 11) -> Quantiser:
     """Centroids and codes from a sample of the unit vectors; ``n``, the number of all, sets how many lists there are."""
     rng = np.random.default_rng(seed)
-    c = kmeans(sample, int(np.clip(np.sqrt(n) / 2, 1, LISTS)), rng)
+    c = kmeans(sample, int(np.clip(n // PER_LIST, 1, min(LISTS, max(1, len(sample) // 8)))), rng)
     near = ((c**2).sum(axis=1) - 2 * sample @ c.T).argmin(axis=1)
     rest = sample - c[near]
     dim = sample.shape[1]
     edges = np.linspace(0, dim, min(8, dim) + 1).astype(int)
     cuts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     books = [kmeans(rest[:, s], CODES, rng) for s in cuts]
-    apart = np.sqrt((((c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)) - 2 * c @ c.T).clip(0))
-    return Quantiser(c, cuts, books, apart)
+    return Quantiser(c, cuts, books, _apart(c))
+
+
+def _apart(c: np.ndarray) -> np.ndarray:
+    return np.sqrt((((c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)) - 2 * c @ c.T).clip(0))
+
+
+def single(dim: int) -> Quantiser:
+    """One list, and a code that tells nothing: all its vectors are compared."""
+    return Quantiser(np.zeros((1, dim)), [slice(0, dim)], [np.zeros((1, dim))], np.zeros((1, 1)))
 
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
@@ -89,7 +106,7 @@ def _usable(v: str):  # noqa: ANN202
 def links(classes: DataFrame, cosine: float = 0.98) -> DataFrame:
     """(a, b, n): of classes (cid, label, dim, embedding, copies), a spanning forest of the links as rows (a, b, null),
     and as (a, null, n) how many vectors of other classes each is linked to (to be summed)."""
-    dims = [(r["dim"], r["count"]) for r in classes.groupBy("dim").count().collect()]  # a row for each length of vectors
+    dims = [(r["dim"], r["count"]) for r in classes.groupBy("dim").count().where(F.col("count") > RARE).collect()]  # lengths that many vectors have
     made = {}
     for dim, n in dims:
         rows = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("cid"), "cid").select("embedding").limit(SAMPLE).toArrow()
@@ -101,7 +118,7 @@ def links(classes: DataFrame, cosine: float = 0.98) -> DataFrame:
         for b in batches:
             dim_of = b.column("dim").to_numpy()
             for dim in np.unique(dim_of):
-                q = sent.value[int(dim)]
+                q = sent.value.get(int(dim)) or single(int(dim))
                 p = b.filter(pa.array(dim_of == dim))
                 x = _units(p.column("embedding"), int(dim))
                 d = q.place(x)
@@ -120,12 +137,19 @@ def links(classes: DataFrame, cosine: float = 0.98) -> DataFrame:
     element = classes.schema["embedding"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
     schema = f"label {label}, dim int, list int, own int, cid long, copies long, embedding {element}, codes binary, error double, lists binary"
-    rows = cut(classes.select("label", "dim", "cid", "copies", "embedding").mapInArrow(index, schema))
+    rows = cut(lean(classes.select("label", "dim", "cid", "copies", "embedding")).mapInArrow(index, schema))
+    rows = rows.withColumn("path", F.lit(0).cast("long")).withColumn("was", F.lit(None).cast("long"))
     member = F.col("codes").isNotNull()
-    sizes = rows.groupBy("label", "dim", "list").agg(F.count(F.when(member, 1)).alias("m"), F.count(F.when(~member, 1)).alias("v"))
-    sizes = sizes.select("label", "dim", "list", F.ceil(F.col("m") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("v") / VISITORS).cast("int").alias("vb")).where("mb > 0 and vb > 0")
-    sizes = cut(sizes)  # a row for each list and label
-    dealt = rows.join(sizes, ["label", "dim", "list"])
+    cell = ["label", "dim", "list", "path"]
+    for _ in range(ROUNDS):
+        sizes = rows.groupBy(*cell).agg(F.count(F.when(member, 1)).alias("m"), F.count(F.when(~member, 1)).alias("v"), F.first("was").alias("was"))
+        sizes = cut(sizes)  # a row for each list and label
+        large = sizes.where(f"m > {MEMBERS} and (was is null or 2 * m <= was)").select(*cell, "m", F.ceil((F.col("m") + F.col("v")) / VISITORS).cast("int").alias("salts"))
+        if large.isEmpty():
+            break
+        rows = cut(rows.join(large.select(*cell), cell, "left_anti").unionByName(_again(rows.join(large, cell), large, cell, reach)))
+    sizes = sizes.select(*cell, F.ceil(F.col("m") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("v") / VISITORS).cast("int").alias("vb")).where("mb > 0 and vb > 0")
+    dealt = rows.join(sizes, cell)
     mine = F.pmod(F.xxhash64("cid"), F.when(member, F.col("mb")).otherwise(F.col("vb"))).cast("int")
     other = F.sequence(F.lit(0), F.when(member, F.col("vb")).otherwise(F.col("mb")) - 1)
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(other))
@@ -138,10 +162,52 @@ def links(classes: DataFrame, cosine: float = 0.98) -> DataFrame:
         m, v = t.filter(is_member), t.filter(pa.compute.invert(is_member))
         out = ([], [], [])
         if len(m) and len(v):
-            _near(m.combine_chunks(), v.combine_chunks(), dim, here, sent.value[dim], cosine, reach, out)
+            _near(m.combine_chunks(), v.combine_chunks(), dim, here, sent.value.get(dim) or single(dim), cosine, reach, out)
         return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64(), mask=k(x)) for x, k in zip(out, (_none, _minus, _minus), strict=True)], names=["a", "b", "n"])
 
-    return dealt.select("label", "dim", "list", "block", "group", "own", "cid", "copies", "embedding", "codes", "error", "lists").groupBy("label", "dim", "list", "block", "group").applyInArrow(near, "a long, b long, n long")
+    return dealt.select(*cell, "block", "group", "own", "cid", "copies", "embedding", "codes", "error", "lists").groupBy(*cell, "block", "group").applyInArrow(near, "a long, b long, n long")
+
+
+def _again(rows: DataFrame, large: DataFrame, cell: list[str], reach: float) -> DataFrame:
+    """The rows of large lists (with m and salts of their list) in smaller lists, by ``path``.
+
+    A list's centroids come from a sample of its members that their hashes choose; rows of a list meet them in parts of
+    about VISITORS rows.
+    """
+    kind = dict(rows.dtypes)
+    head = ", ".join(f"`{c}` {kind[c]}" for c in cell)
+
+    def centres(t: pa.Table) -> pa.Table:
+        x = _units(t.column("embedding").combine_chunks(), t.column("dim")[0].as_py())
+        c = kmeans(x, int(np.clip(t.column("m")[0].as_py() * 2 // MEMBERS, 2, SPLIT)), np.random.default_rng(13))
+        return pa.table({k: t.column(k).slice(0, 1) for k in cell} | {"c": pa.array([c.tobytes()], pa.binary())})
+
+    def assigned(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = left.combine_chunks()
+        if not len(t) or not len(right):
+            return pa.table({c: left.column(c).slice(0, 0) for c in columns} | {"path": pa.array([], pa.int64()), "was": pa.array([], pa.int64())}).select(names)
+        dim = t.column("dim")[0].as_py()
+        c = np.frombuffer(right.column("c")[0].as_py()).reshape(-1, dim)
+        x = _units(t.column("embedding").combine_chunks(), dim)
+        d = 1.0 + (c**2).sum(axis=1) - 2 * x @ c.T
+        own = d.argmin(axis=1)
+        here = np.arange(len(c)) == own[:, None]
+        # Of two vectors at the link distance, the second lies no further than that beyond the border to its list.
+        visit = d - d[np.arange(len(x)), own][:, None] <= 2 * reach * _apart(c)[own] + EPS
+        is_member = t.column("codes").is_valid().to_numpy(zero_copy_only=False)
+        at, sub = np.nonzero(np.where(is_member[:, None], here, visit))
+        out = t.take(pa.array(at))
+        path = out.column("path").to_numpy() * (SPLIT + 1) + sub + 1
+        return pa.table({k: out.column(k) for k in columns} | {"path": pa.array(path, pa.int64()), "was": out.column("m")}).select(names)
+
+    names = [c for c in rows.columns if c not in ("m", "salts")]
+    columns = [c for c in names if c not in ("path", "was")]
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in names)
+    some = F.col("codes").isNotNull() & (F.pmod(F.xxhash64("cid", F.lit(3)), F.col("m")) < AGAIN)
+    books = rows.where(some).select(*cell, "m", "embedding").groupBy(*cell).applyInArrow(centres, f"{head}, c binary")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("salts")).cast("int")).drop("salts")
+    books = books.join(large.select(*cell, "salts"), cell).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return salted.groupBy(*cell, "salt").cogroup(books.groupBy(*cell, "salt")).applyInArrow(assigned, schema)
 
 
 def _none(x: list[np.ndarray]) -> np.ndarray | None:
@@ -211,7 +277,7 @@ def _near(m: pa.Table, v: pa.Table, dim: int, here: int, q: Quantiser, cosine: f
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98) -> DataFrame:
-    """(id, n_links, component_id, kept), one row for each vector.
+    """(id, n_links, component_id, kept), one row for each vector; other columns are left out, and an empty table gives none.
 
     Vectors link within a label and a length at ``cosine`` or more. Vectors that are null, zero or hold null or
     non-finite numbers, and rows of null label, link with nothing. Rows of a null id count, but name no component.

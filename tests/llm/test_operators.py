@@ -581,7 +581,10 @@ def test_suffix_dedup_as_text(spark):
 # Embeddings
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("small", [{}, {"PER_LIST": 40, "MEMBERS": 8, "VISITORS": 30, "AGAIN": 60, "RARE": 2}], ids=["plain", "dealt anew"])
+def test_embeddings(spark, monkeypatch, small):
+    for k, v in small.items():
+        monkeypatch.setattr(pq, k, v)
     rng = np.random.default_rng(6)
     rows = []
     for c in range(30):
