@@ -32,7 +32,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of the tokens, dealt by the weights of domain, language and source; no document twice."""
+    """Four fifths of the tokens, dealt by the weights of domain, language and source; no document twice, so a leaf that has less
+    than its share gives all it has and the others share the rest."""
     return mixing.mix(docs, share=0.8, weights=mixing.WEIGHTS, max_epochs=1, domain=F.expr(mixing.DOMAIN)).select(*COLUMNS)
 
 
@@ -56,9 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage wrote; what the others wrote is removed once the next one has."""
     docs = common.read(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if before:
+            common.remove(spark, before)
+        before = f"{folder}/{k}-{name}"
+        docs = spark.read.parquet(before)
     return docs
