@@ -630,6 +630,26 @@ def test_pipeline_stage_by_stage(spark, docs, tokenizer):
         made = common.cut(stage(spark, before, FOLDER))
         assert made.columns == p.COLUMNS, name
         assert made.count() <= before.count()
+        texts = {r["doc_id"]: r["text"] for r in before.select("doc_id", "text").collect()}
+        if name == "toxicity":
+            model = toxicity.fit(before, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+            langs = {r["doc_id"]: r["lang"] for r in before.select("doc_id", "lang").collect()}
+            want = {i for i, t in texts.items() if model.score(t) < model.thresholds.get(langs[i], 0.5)}
+            assert {r["doc_id"] for r in made.select("doc_id").collect()} == want
+        if name == "simhash_near_dedup":
+            ids = sorted(texts)
+            assert {r["doc_id"] for r in made.select("doc_id").collect()} == {ids[k] for k in plain_groups([texts[i] for i in ids])}
+        if name == "mixing":
+            words = {i: len((t or "").split()) for i, t in texts.items()}
+            leaf = {r["doc_id"]: (r["source"], r["lang"]) for r in before.select("doc_id", "source", "lang").collect()}
+            taken = {r["doc_id"] for r in made.select("doc_id").collect()}
+            place = lambda i: (hashlib.md5(f"mix:0:{i}".encode()).hexdigest(), i)
+            for one in set(leaf.values()):  # a prefix of the seeded order
+                order = sorted((i for i, x in leaf.items() if x == one and words[i]), key=place)
+                n = len(taken.intersection(order))
+                assert set(order[:n]) == taken.intersection(order)
+            share = sum(words[i] for i in taken) / sum(words.values())
+            assert 0.79 < share < 1  # each leaf may go over by less than a document
         if name == "suffix_array_dedup":
             want = {eval(x, {"__builtins__": {}})[0]: eval(x, {"__builtins__": {}})[4].decode("utf-8", "ignore") for x in plain_removals([tuple(r) for r in before.select("doc_id", "text").collect()])}
             assert {r["doc_id"]: r["text"] for r in made.select("doc_id", "text").collect()} == want
@@ -638,3 +658,19 @@ def test_pipeline_stage_by_stage(spark, docs, tokenizer):
     assert len(out) == len(texts) > 0
     for r in out:
         assert np.frombuffer(r["ids"], "<u4").tolist() == lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+
+
+def test_pipeline_of_odd_tables(spark, tokenizer):
+    import corpus_pipeline as p
+
+    extra = ["row", "score", "kept", "epoch", "text_", "ids", "h", "c", "root", "id"]
+    rows = [(i, t, lang, source, None) for i, t, lang, source in [*ODD, (6, "a b c d e f " * 20 + "z" * 60, "en", "s1"), (7, "a b c d e f " * 20 + "z" * 60, "en", "s9")]]
+    for docs in (spark.createDataFrame(rows, SCHEMA + ", n_chars long"), spark.createDataFrame([], SCHEMA + ", n_chars long")):
+        n = docs.count()
+        for c in extra:
+            docs = docs.withColumn(c, F.lit("x"))
+        for _, stage in p.STAGES[:-1]:
+            docs = common.cut(stage(spark, docs, FOLDER))
+            assert docs.columns == p.COLUMNS
+        out = p.STAGES[-1][1](spark, docs, FOLDER)
+        assert (out.count() > 0) == (n > 0)
