@@ -86,14 +86,19 @@ def released(f):  # noqa: ANN001, ANN201
     @functools.wraps(f)
     def run(batches):  # noqa: ANN001, ANN202
         yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return this process's free memory to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
     """The rows of each key, one table after the other, from batches that are sorted by ``keys``."""
     held: list[pa.RecordBatch] = []

@@ -10,6 +10,7 @@ language beside the score.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, read, released, without
+from .common import give_back, lean, read, released, without
 
 TABLE = 1 << 16
 DIM = 8
@@ -121,21 +122,21 @@ def train(texts: list[str], labels: list[int], weights: list[float], langs: list
     epochs = epochs or min(MORE_EPOCHS, max(EPOCHS, ROWS_LEARNT // len(y)))
     rng = np.random.default_rng(seed)
     seen: dict[str, int] = {}
-    bags: list[list[int]] = []
+    bags = array("i")  # three places a word
     docs = []
     for t in texts:
         ids = []
         for w in t.split():
             if (k := seen.get(w)) is None:
-                k = seen[w] = len(bags)
-                bags.append(pieces(w))
+                k = seen[w] = len(bags) // 3
+                bags.extend(pieces(w))
             ids.append(k)
         docs.append(np.array(ids or [-1], np.int32))
-    pad = len(bags)
-    longest = max((len(b) for b in bags), default=1)
+    del seen
+    pad, longest = len(bags) // 3, 3
     bag = np.full((pad + 1, longest), TABLE, np.int32)  # row TABLE of the table is zero
-    for i, b in enumerate(bags):
-        bag[i, : len(b)] = b
+    bag[:pad] = np.frombuffer(bags, np.int32).reshape(pad, 3)
+    del bags
     table = np.concatenate([rng.normal(0, 0.05, (TABLE, DIM)), np.zeros((1, DIM))]).astype(np.float32)
     filters = [rng.normal(0, 0.3 / np.sqrt(w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     bias, out, out_bias = np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), np.zeros(1, np.float32)
@@ -239,10 +240,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, class_bytes
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "lang", text.alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("lang", "text", "toxic"), F.struct(F.xxhash64("text"), "lang")).alias("one")).select("doc_id", "one.*")
     before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < class_bytes).drop("before").orderBy("doc_id").toPandas()
-    y = [int(x) for x in rows["toxic"]]
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < class_bytes).orderBy("doc_id").select("text", "toxic", "lang").toArrow()
+    texts, y, langs = (rows.column(k).to_pylist() for k in range(3))
+    del rows
     share = {c: counts.get(c, 0) / max(1, y.count(c)) for c in (0, 1)}
-    return train(rows["text"].tolist(), y, [share[c] for c in y], [x if isinstance(x, str) else None for x in rows["lang"]])
+    made = train(texts, y, [share[c] for c in y], langs)
+    del texts
+    give_back()  # what the driver held for the training
+    return made
 
 
 def score(docs: DataFrame, model: Cnn, text: str = "text") -> DataFrame:
