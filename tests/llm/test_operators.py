@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -431,6 +432,45 @@ def test_simhash_links(spark):
         assert {(r["a"], r["b"]) for r in simhash.links(df, hot_bucket=hot).collect()} == want
 
 
+def plain_simhash(text):
+    import xxhash
+
+    w = re.findall("[^\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(len(w) - 2, 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints(docs):
+    texts = ["", None, "A b", "Ünï É x", "a\u00a0b c\x1cd e", "x " * 500, "one Two\x0bthree"] + [r["text"] for r in docs.select("text").limit(60).collect()]
+    assert [simhash.simhash64(t) for t in texts] == [plain_simhash(t) for t in texts]
+
+
+def test_a_chain_of_fingerprints(spark):
+    """200 fingerprints, ids ascending along the chain; each three bits from the next."""
+    r = random.Random(12)
+    chain = [r.getrandbits(64)]
+    for _ in range(199):
+        chain.append(chain[-1] ^ sum(1 << b for b in r.sample(range(64), 3)))
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in chain], "fp long")
+    got = common.components(simhash.links(df)).collect()
+    assert len(got) == 200 and len({x["root"] for x in got}) == 1
+
+
+def test_a_chain_of_vectors(spark):
+    """200 unit vectors, each at a cosine of 0.9808 to the next, that turn from axis to axis."""
+    rows = []
+    for k in range(200):
+        v = np.zeros(32)
+        axis, step = divmod(k, 8)
+        v[axis], v[axis + 1] = np.cos(step * np.pi / 16), np.sin(step * np.pi / 16)
+        rows.append((k, v.tolist(), 1))
+    got = pq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sorted(r["n_links"] for r in got) == [1, 1] + [2] * 198
+
+
 def test_simhash_groups(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
