@@ -52,6 +52,11 @@ def md5_words(key: Column, first: int = 0) -> tuple[Column, Column]:
     return _hex(h, first * 8 + 1).cast("long"), _hex(h, first * 8 + 9).cast("long")
 
 
+def hex_digest(raw: Column) -> Column:
+    """Bytes in upper-case hexadecimal."""
+    return F.upper(F.hex(raw))
+
+
 def _split(h: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(MASK32).cast("long"))
 

@@ -49,6 +49,11 @@ class Grafite(Sketch):
         rows = df.where(F.col(key).isNotNull()).select(*by, cls.code(spec, F.col(key).cast("long")).alias("code"))
         return cls(spec, rows.distinct(), by)
 
+    def false_positive_rate(self, size: int) -> float:
+        """The chance that a range of ``size`` keys that holds none is said to hold one."""
+        guards.positive("size", size)
+        return min(1.0, self.cells.count() * size / self.spec["r"])
+
     def may_hold(self, ranges: DataFrame, low: str, high: str, out: str = "may_hold") -> DataFrame:
         """``ranges`` with ``out``. A range as wide as the code space may always hold a key; one with high < low never."""
         r, names = self.spec["r"], [*self.by, low, high]
@@ -131,6 +136,15 @@ class InfiniFilter(Sketch):
         hit = self._asked(df, key).select(key).distinct().withColumn(out, F.lit(True))
         return df.join(hit, key, "left").withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce(out, F.lit(False))))
 
+    @property
+    def expansions(self) -> int:
+        """How often the filter has doubled."""
+        return len(self.spec["widths"]) - 1
+
+    def test_and_remove(self, df: DataFrame, key: str, out: str = "member") -> tuple[DataFrame, InfiniFilter]:
+        """``df`` with ``out``, as ``test``, and the filter without the members among its keys."""
+        return self.test(df, key, out), self.remove(df, key)
+
     def remove(self, df: DataFrame, key: str) -> InfiniFilter:
         """Take out one entry for each distinct key that is a member: of those it matches, the one of most bits."""
         best = self._asked(df, key).groupBy(key).agg(F.max_by(F.struct("width", "value"), "width").alias("c"))

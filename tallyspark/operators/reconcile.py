@@ -43,8 +43,8 @@ class InvertibleBloomLookupTable(Sketch):
     def decode(self) -> DataFrame:
         """(key, side): 1 for keys that only this side has, -1 for the other's; a row (null, 0) if not all could be read.
 
-        Works round by round: the cells that hold one key give it up everywhere, until none is left. Cells are as many as the
-        difference, so a round is small; each ends in a checkpoint of cells where one is set, else in a plan of a few steps.
+        Cells that hold one key give it up everywhere, until none is left. A group is read back in one task, as its cells are as many as the
+        difference that the table was sized for and not as the keys. Tables hashed with md5 alone can be read back.
         """
         spec = self.spec
         by = list(self.by)

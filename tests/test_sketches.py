@@ -232,6 +232,18 @@ def test_ranges(spark, keys):
     assert graf.may_hold(spark.createDataFrame([(5, 4)], "a long, b long"), "a", "b").first()["may_hold"] is False
 
 
+def test_small_members(spark, keys):
+    graf = ranges.Grafite.build(keys, "k", ranges.Grafite.sized(3000, 64, 0.01))
+    assert 0.009 < graf.false_positive_rate(64) <= 0.01 and graf.false_positive_rate(1 << 40) == 1.0
+    infini = ranges.InfiniFilter.build(keys, "k", "id", ranges.InfiniFilter.sized(64, 16))
+    assert infini.expansions == 6  # three quarters of 64, 128, ... slots
+    answers, left = infini.test_and_remove(keys.where("id < 1000"), "k")
+    assert answers.where("not member").isEmpty()
+    assert left.test(keys.where("id >= 1000"), "k").where("not member").isEmpty()
+    assert left.test(keys.where("id < 1000"), "k").where("member").count() < 60
+    assert spark.range(1).select(hashing.hex_digest(F.unhex(F.lit("00ffa1"))).alias("x")).first()["x"] == "00FFA1"
+
+
 def test_static(spark, keys):
     fuse = static_filters.BinaryFuseFilter.build(keys, "k", static_filters.BinaryFuseFilter.sized(3000, 8) | {"shards": 3})
     assert fuse.test(keys, "k").where("not member").isEmpty()
