@@ -7,7 +7,6 @@ import ctypes
 import functools
 import gc
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,24 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import scratch
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session on one machine may leave it unset; it gets a folder of its own then. On a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = sc.getConf().get("spark.checkpoint.dir")
-        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tallyspark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+shared_folder = scratch
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the copy; Spark's cleaner removes it when nothing refers to it."""
-    shared_folder(df.sparkSession)
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -46,7 +36,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.folder = f"{scratch(spark)}/scratch-{uuid.uuid4().hex}"
         self.numbers = itertools.count()
 
     def __enter__(self) -> Scratch:
