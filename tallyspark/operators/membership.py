@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -288,45 +290,104 @@ class ScalableBloomFilter(Sketch):
 
     @classmethod
     def placed(cls, df: DataFrame, key: str, order: str, spec: dict) -> tuple[DataFrame, list[tuple[dict, int, int]]]:
-        rows = with_place(df.where(F.col(key).isNotNull()), order)
-        n = df.where(F.col(key).isNotNull()).count()
-        made = cls.filters(spec, n)
-        which = F.lit(len(made) - 1)
-        for j in range(len(made) - 2, -1, -1):
-            which = F.when(F.col("place") < made[j][2], F.lit(j)).otherwise(which)
-        return rows.withColumn("filter", which), made
+        """``df`` with its place, its filter and that filter's __slice and __k, by a join with the table of the filters: however
+        many there are, the plan stays the same. And the filters."""
+        rows = df.where(F.col(key).isNotNull())
+        made = cls.filters(spec, rows.count())
+        step = min(end - first for _, first, end in made)
+        cells = [(c, j, first, end, one["slice"], one["k"]) for j, (one, first, end) in enumerate(made) for c in range(first // step, (end - 1) // step + 1)]
+        of = df.sparkSession.createDataFrame(cells, "__cell long, filter int, __from long, __end long, __slice long, __k int")
+        rows = with_place(rows, order).withColumn("__cell", F.floor(F.col("place") / step).cast("long"))
+        rows = rows.join(of, "__cell").where((F.col("__from") <= F.col("place")) & (F.col("place") < F.col("__end")))
+        return rows.drop("__cell", "__from", "__end"), made
+
+    @staticmethod
+    def _probe(h: Column, i: Column, size: Column) -> Column:
+        """Position of probe i of a hash (hi, lo) in a partitioned filter of this slice."""
+        return (h["lo"] + h["hi"] * i).bitwiseAND(F.lit(hashing.MASK32).cast("long")) % size + i * size
+
+    @classmethod
+    def _probes(cls, key: str, hash_name: str) -> Column:
+        """All positions of ``key`` by the columns __slice and __k; the hash is computed once."""
+        each = F.sequence(F.lit(0).cast("long"), F.col("__k").cast("long") - 1)
+        return once(hashing.words(F.col(key), hash_name), lambda h: F.transform(each, lambda i: cls._probe(h, i, F.col("__slice"))))
 
     @classmethod
     def build(cls, df: DataFrame, key: str, order: str, spec: dict) -> ScalableBloomFilter:
         rows, made = cls.placed(df, key, order, spec)
-        p = F.array(*[F.lit(0).cast("long")])
-        for j, (one, _, _) in enumerate(made):
-            p = F.when(F.col("filter") == j, F.array(*PartitionedBloomFilter.probes(one, F.col(key)))).otherwise(p)
-        cells = bit_words(rows.select("filter", F.explode(p).alias("pos")), ("filter",))
+        cells = bit_words(rows.select("filter", F.explode(cls._probes(key, spec["hash"])).alias("pos")), ("filter",))
         return cls(spec | {"filters": [one for one, _, _ in made]}, cells)
 
     def test(self, df: DataFrame, key: str, out: str = "member") -> DataFrame:
-        """A key is a member if one of the filters has it."""
-        answer = F.lit(False)
-        for j, one in enumerate(self.spec["filters"]):
-            words = dense_words(self.cells.where(F.col("filter") == j), PartitionedBloomFilter.bits(one)).scalar()
-            answer = answer | all_bits_set(words, PartitionedBloomFilter.probes(one, F.col(key)))
-        return df.withColumn(out, F.when(F.col(key).isNotNull(), answer))
+        """A key is a member if one of the filters has it.
+
+        Filters of at most BROADCAST_BITS in all are read as one array, in which a key stops at the first clear bit of a filter and at
+        the first filter that has it; else the probes of distinct keys meet the words in a join.
+        """
+        made = self.spec["filters"]
+        sizes = [(PartitionedBloomFilter.bits(one) + 63) // 64 for one in made]
+        if 64 * sum(sizes) > BROADCAST_BITS:
+            return self._joined(df, key, out)
+        shape = [(j, base, one["slice"], one["k"]) for j, (base, one) in enumerate(zip(itertools.accumulate(sizes, initial=0), made, strict=False))]
+        table = self.cells.sparkSession.createDataFrame(shape, "filter int, base long, slice long, k int")
+        one_row = table.agg(F.sort_array(F.collect_list(F.struct("base", "slice", "k"))).alias("shape")).select("shape").scalar()
+        flat = self.cells.join(table, "filter").select((F.col("base") + F.col("word")).alias("word"), "mask")
+        words = F.col("__words")
+
+        def has(h: Column, f: Column) -> Column:
+            def is_set(i: Column) -> Column:
+                pos = self._probe(h, i, f["slice"])
+                word = F.get(words, (f["base"] + F.shiftright(pos, 6)).cast("int"))
+                return F.call_function("getbit", word, pos.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+            return F.forall(F.sequence(F.lit(0).cast("long"), f["k"].cast("long") - 1), is_set)
+
+        answer = once(hashing.words(F.col(key), self.spec["hash"]), lambda h: F.exists("__shape", lambda f: has(h, f)))
+        rows = df.withColumn("__words", dense_words(flat, 64 * sum(sizes)).scalar()).withColumn("__shape", one_row)
+        return rows.withColumn(out, F.when(F.col(key).isNotNull(), answer)).drop("__words", "__shape")
+
+    def _joined(self, df: DataFrame, key: str, out: str) -> DataFrame:
+        keys = df.where(F.col(key).isNotNull()).select(key).distinct()
+        shape = [(j, one["slice"], one["k"]) for j, one in enumerate(self.spec["filters"])]
+        asked = keys.withColumn("filter", F.explode(F.sequence(F.lit(0), F.lit(len(shape) - 1)))).join(keys.sparkSession.createDataFrame(shape, "filter int, __slice long, __k int"), "filter")
+        asked = asked.select(key, "filter", F.explode(self._probes(key, self.spec["hash"])).alias("pos")).withColumn("word", F.shiftright("pos", 6))
+        hit = F.call_function("getbit", F.coalesce("mask", F.lit(0).cast("long")), F.col("pos").bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+        found = asked.join(self.cells, ["filter", "word"], "left").groupBy(key, "filter").agg(F.bool_and(hit).alias(out))
+        return df.join(found.groupBy(key).agg(F.bool_or(out).alias(out)), key, "left")
+
+
+def once(hash_words: tuple[Column, Column], f: Callable[[Column], Column]) -> Column:
+    """f(h) of a hash h with fields hi and lo, computed once for a row although f's lambdas name it for each element."""
+    hi, lo = hash_words
+    return F.get(F.transform(F.array(F.struct(hi.alias("hi"), lo.alias("lo"))), f), 0)
+
+
+#: Ranges that places are counted in, at most.
+RANGES = 4096
 
 
 def with_place(df: DataFrame, order: str, name: str = "place", rows: int = 100_000) -> DataFrame:
     """``df`` with the row's place (from 0) by ``order``, a number without repeats, found by ranges and not in one task.
 
-    Rows are counted by ranges of the order's values, the counts are added up, and rows are numbered within their range.
-    Nulls come first.
+    Rows are counted by ranges of the order's values, the counts are added up, and rows are numbered within their range. The
+    ranges end at quantiles, so they hold about equally many rows however the numbers bunch (snowflake ids, bursts);
+    quantiles only balance: places are exact whatever they are. Nulls come first.
     """
-    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    if not n:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    ranges = max(1, n // rows)
-    span = max(1, math.ceil((int(high) - int(low) + 1) / ranges)) if low is not None else 1
-    bucket = F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(span)).cast("long"), F.lit(-1).cast("long"))
-    rows_ = df.withColumn("__range", bucket)
+    from pyspark.ml.feature import Bucketizer
+
+    n = df.count()
+    ranges = min(RANGES, max(1, n // rows))
+    cuts: list[float] = []
+    if ranges > 1:
+        at = [(i + 1) / ranges for i in range(ranges - 1)]
+        found = df.agg(F.percentile_approx(F.col(order).cast("double"), at, 10 * RANGES)).first()[0]
+        cuts = sorted({float(x) for x in found or [] if math.isfinite(x)})
+    if cuts:
+        value = F.coalesce(F.col(order).cast("double"), F.lit(-math.inf))
+        cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__value", outputCol="__cut")
+        rows_ = cutter.transform(df.withColumn("__value", value)).withColumn("__range", F.when(F.col(order).isNull(), -1).otherwise(F.col("__cut").cast("int"))).drop("__value", "__cut")
+    else:
+        rows_ = df.withColumn("__range", F.when(F.col(order).isNull(), -1).otherwise(0))
     sums = rows_.groupBy("__range").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     within = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
     return rows_.withColumn("__n", within).join(sums, "__range").withColumn(name, (F.col("__n") + F.col("__before")).cast("long")).drop("__n", "__before", "__range")

@@ -332,3 +332,19 @@ def test_sliding_window(spark):
     got = {r["bucket"]: r["estimate"] for r in w.merged(made).count().collect()}
     assert got[0] == 1
     assert got[50] == 10
+
+
+def test_places_of_bunched_numbers(spark, keys):
+    bunched = spark.range(3000).selectExpr("case when id < 2900 then id else id * 10000000000 end as at").unionAll(spark.sql("select cast(null as long) as at")).repartition(5)
+    got = [r["at"] for r in membership.with_place(bunched, "at", rows=100).orderBy("place").collect()]
+    assert got == [None, *sorted(x for x in got if x is not None)] and len(got) == 3001
+
+
+def test_scalable_in_one_array_and_by_join(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("k"))
+    made = membership.ScalableBloomFilter.build(rows, "k", "k", membership.ScalableBloomFilter.sized(300, 0.01))
+    asked = spark.range(6000).select(F.col("id").alias("k")).unionAll(spark.sql("select cast(null as long) as k"))
+    near = {r["k"]: r["member"] for r in made.test(asked, "k").collect()}
+    assert near[None] is None and all(near[k] for k in range(3000)) and sum(near[k] for k in range(3000, 6000)) < 300
+    monkeypatch.setattr(membership, "BROADCAST_BITS", 100)
+    assert {r["k"]: r["member"] for r in made.test(asked, "k").collect()} == near
