@@ -655,18 +655,24 @@ def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round(exact, 5).alias("jaccard"))
 
 
+def _linked(spark: SparkSession, d: str, least: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between classes of documents with equal shingles, and (id, class)."""
+    bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
+    members = similarity.classes(bags, "doc_id", "bag")
+    one = similarity.representatives(bags, "doc_id", members)
+    signed = similarity.MinHash.signatures(one, "doc_id", "bag", 126)
+    pairs = similarity.MinHashIndex.pairs(similarity.MinHashIndex.bands(signed, "doc_id", "signature", bands, rows))
+    found = similarity.common_terms(pairs, one, "doc_id", "bag")
+    return found.where(f"n_common >= {least} * (n_a + n_b - n_common)").select("a", "b"), members
+
+
 @query(f"""
 WITH {SHINGLE_SQL},
 x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE x >= 0.9 * (ca.n + cb.n - x)""")
 def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs at a Jaccard of 0.9 or more: candidates of 18 bands of seven rows, each verified."""
-    bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
-    signed = similarity.MinHash.signatures(bags, "doc_id", "bag", 126)
-    index = similarity.MinHashIndex.bands(signed, "doc_id", "signature", 18, 7)
-    pairs = similarity.MinHashIndex.pairs(index)
-    found = similarity.common_terms(pairs, bags, "doc_id", "bag")
-    return found.where("n_common >= 0.9 * (n_a + n_b - n_common)").select("a", "b")
+    """Pairs at a Jaccard of 0.9 or more: candidates of 18 bands of seven rows, each verified, of which copies share one."""
+    return similarity.expanded(*_linked(spark, d, 0.9, 18, 7))
 
 
 @query(f"""
@@ -674,12 +680,23 @@ WITH {SHINGLE_SQL},
 x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE x >= 0.8 * (ca.n + cb.n - x)""")
 def minhash_pairs_80(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs at a Jaccard of 0.8 or more: candidates of 42 bands of three rows, which miss one in 10^12 of them, each verified."""
-    bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
-    signed = similarity.MinHash.signatures(bags, "doc_id", "bag", 126)
-    pairs = similarity.MinHashIndex.pairs(similarity.MinHashIndex.bands(signed, "doc_id", "signature", 42, 3))
-    found = similarity.common_terms(pairs, bags, "doc_id", "bag")
-    return found.where("n_common >= 0.8 * (n_a + n_b - n_common)").select("a", "b")
+    """Pairs at a Jaccard of 0.8 or more: candidates of 42 bands of three rows, which miss one in 10^12 of them, each verified,
+    of which copies share one."""
+    return similarity.expanded(*_linked(spark, d, 0.8, 42, 3))
+
+
+@query(f"""
+WITH {SHINGLE_SQL},
+l AS (SELECT doc_id, list(t ORDER BY t) AS bag FROM t GROUP BY 1), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY bag) AS class FROM l),
+one AS (SELECT t.* FROM t JOIN m USING (doc_id) WHERE doc_id = class),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM one a JOIN one b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+y AS (SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE x >= 0.8 * (ca.n + cb.n - x))
+SELECT a, b, 'link' AS kind FROM y UNION ALL SELECT class, doc_id, 'member' FROM m""")
+def minhash_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links at a Jaccard of 0.8 or more between documents of distinct shingles, and the class of every document: rows grow
+    with the documents and not with the square of a group of copies."""
+    links, members = _linked(spark, d, 0.8, 42, 3)
+    return links.withColumn("kind", F.lit("link")).unionAll(members.select("class", "id", F.lit("member")))
 
 
 @query("SELECT count(*) AS n, true AS close FROM documents WHERE doc_id % 2 = 0")
@@ -712,10 +729,13 @@ w AS (SELECT doc_id, i, sum(n * (2 * ((CASE WHEN i < 32 THEN lo ELSE hi END >> (
 s AS (SELECT doc_id, string_agg(CASE WHEN up THEN '1' ELSE '0' END, '' ORDER BY i DESC)::BIT AS s FROM w GROUP BY 1)
 SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.s, b.s))::INT AS distance FROM s a JOIN s b ON a.doc_id < b.doc_id AND bit_count(xor(a.s, b.s)) <= 3""")
 def simhash_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs at three or fewer differing bits, by four slices."""
+    """All pairs at three or fewer differing bits, by four slices of the distinct fingerprints."""
     terms = table(spark, d, "documents").select("doc_id", F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "")).alias("term"))
     signed = similarity.SimHash.build(terms, "term", {"hash": "md5"}, ("doc_id",)).signature()
-    return similarity.SimHashIndex.pairs(similarity.SimHashIndex.bands(signed, "doc_id", "signature", 4), 3).select("a", "b", F.col("distance").cast("int").alias("distance"))
+    members = similarity.of_equal(signed.withColumnRenamed("doc_id", "id"), "signature")
+    index = similarity.SimHashIndex.bands(members.where("id = class"), "id", "signature", 4)
+    links = similarity.SimHashIndex.pairs(index, 3).select("a", "b", F.col("distance").cast("int").alias("distance"))
+    return similarity.expanded(links, members).select("a", "b", F.coalesce("distance", F.lit(0)).alias("distance"))
 
 
 @query("SELECT true AS counts_close, true AS jaccard_close")

@@ -50,6 +50,20 @@ def test_pairs_between_08_and_09(spark, tmp_path):
     assert {tuple(x) for x in entry.queries()["minhash_pairs_80"](spark, str(tmp_path)).select("a", "b").collect()} == want
 
 
+def test_links_between_classes_of_copies(spark, tmp_path):
+    r = random.Random(5)
+    first = [f"w{r.randrange(9000)}" for _ in range(100)]
+    near = [*first[:50], "x", *first[51:]]
+    texts = [(10 + i, " ".join(first)) for i in range(60)] + [(200 + i, " ".join(near)) for i in range(3)] + [(1, ""), (2, None), (3, "a b"), (4, "a  b"), (5, "c")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in entry.queries()["minhash_links"](spark, str(tmp_path)).collect()}
+    members = {(10, 10 + i, "member") for i in range(60)} | {(200, 200 + i, "member") for i in range(3)}
+    assert got == members | {(10, 200, "link"), (3, 3, "member"), (3, 4, "member"), (5, 5, "member")}
+    pairs = {tuple(x) for x in entry.queries()["minhash_pairs_80"](spark, str(tmp_path)).select("a", "b").collect()}
+    alike = [d for d, t in texts if d >= 10]
+    assert pairs == {(a, b) for a in alike for b in alike if a < b} | {(3, 4)}
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).columns == ["event_type", "q", "sign", "bucket"]
