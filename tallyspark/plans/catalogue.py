@@ -657,12 +657,13 @@ def exact_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 def _linked(spark: SparkSession, d: str, least: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between classes of documents with equal shingles, and (id, class)."""
-    bags = similarity.with_shingles(table(spark, d, "documents").select("doc_id", "text"), "text", 5).drop("text")
-    members = similarity.classes(bags, "doc_id", "bag")
-    one = similarity.representatives(bags, "doc_id", members)
-    signed = similarity.MinHash.signatures(one, "doc_id", "bag", 126)
-    pairs = similarity.MinHashIndex.pairs(similarity.MinHashIndex.bands(signed, "doc_id", "signature", bands, rows))
-    found = similarity.common_terms(pairs, one, "doc_id", "bag")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    bags = lambda rows: similarity.with_shingles(rows, "text", 5).drop("text")
+    members = similarity.classes(bags(docs), "doc_id", "bag")
+    signed = similarity.MinHash.signatures(bags(similarity.representatives(docs, "doc_id", members)), "doc_id", "bag", 126)
+    pairs = similarity.MinHashIndex.pairs(similarity.MinHashIndex.bands(signed, "doc_id", "signature", bands, rows)).checkpoint()
+    near = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+    found = similarity.common_terms(pairs, bags(docs.join(near, "doc_id", "left_semi")), "doc_id", "bag")
     return found.where(f"n_common >= {least} * (n_a + n_b - n_common)").select("a", "b"), members
 
 
