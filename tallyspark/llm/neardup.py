@@ -17,7 +17,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, cut, lean, released, runs_of
@@ -172,6 +172,17 @@ def _within(rows: DataFrame, similarity: float) -> DataFrame:
     return lean(rows).mapInArrow(released(compare), "a long, b long")
 
 
+def _met(classes: DataFrame) -> DataFrame:
+    """(key, c, first) of the buckets that hold several classes, ``first`` being the smallest one.
+
+    Nearly all band keys have one class, so the rows are laid out and sent once; a bucket is judged where its rows meet, and spills if it is large.
+    """
+    bucket = Window.partitionBy("key")
+    listed = classes.select("c", F.explode("keys").alias("key"))
+    listed = listed.withColumns({"first": F.min("c").over(bucket), "last": F.max("c").over(bucket)})
+    return listed.where("first < last").select("key", "c", "first")
+
+
 def links(s: Scratch, classes: DataFrame, docs: DataFrame, similarity: float, words: int, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs (a, b) of classes at ``similarity`` or more, enough to join all that such pairs join.
 
@@ -183,9 +194,7 @@ def links(s: Scratch, classes: DataFrame, docs: DataFrame, similarity: float, wo
     x, y = (fps.select(F.col("fp").alias(f"fp_{k}"), F.col("first").alias(k)) for k in "xy")
     close = near(fps.select("fp")).join(x, F.col("a") == F.col("fp_x")).join(y, F.col("b") == F.col("fp_y"))
     close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    listed = classes.select("c", F.explode("keys").alias("key"))
-    met = listed.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last")
-    listed = s.table(listed.join(met.select("key", "first"), "key"))
+    listed = s.table(_met(classes))
     star = listed.where("first < c").select(F.col("first").alias("a"), F.col("c").alias("b"))
     star = s.table(star.unionAll(same).unionAll(close).distinct())
     asked = star.select(F.explode(F.array("a", "b")).alias("c")).distinct()

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, common, htmltext, mixing, pq, quality, registry, simhash, suffixdedup, toxicity, warc
+from tallyspark.llm import bpe, chat, common, htmltext, mixing, neardup, pq, quality, registry, simhash, suffixdedup, toxicity, warc
 
 FOLDER = os.environ.get("TALLY_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -535,6 +535,22 @@ def test_near_copies_equal_brute_force(spark):
     assert simhash.one_of_each(df.limit(0)).isEmpty()
 
 
+def test_buckets_are_laid_out_once(spark):
+    r = random.Random(12)
+    rows = [(c, [-7] * (c % 2) + [c % 900, 10_000 + c] + r.sample(range(20_000, 10**6), 3)) for c in range(-6000, 6000)] + [(10**6, [])]
+    buckets = {}
+    for c, keys in rows:
+        for k in keys:
+            buckets.setdefault(k, []).append(c)
+    want = sorted((k, c, min(cs)) for k, cs in buckets.items() if len(cs) > 1 for c in cs)
+    df = spark.createDataFrame(rows, "c long, keys array<long>")
+    got = neardup._met(df)
+    assert len(buckets[-7]) == 6000 and sorted(tuple(x) for x in got.collect()) == want
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Generate ") == 1 and "Join" not in plan
+    assert neardup._met(df.limit(0)).isEmpty()
+
+
 def test_near_copies_under_one_id(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
     rows = [(1, a, "s1"), (1, b, "s1"), (1, b, "s1"), (2, b + " more", "s1"), (3, a, "s2"), (4, "c d", "s2"), (4, "c d", "s1"), (None, a, "s1")]
