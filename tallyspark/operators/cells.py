@@ -74,6 +74,12 @@ class Sketch:
         return cls(head["spec"], spark.read.parquet(f"{path}/cells"), tuple(head["by"]))
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """``rows`` to be joined by an exchange of both sides, for what grows with the input. By its packed size Spark would call it small
+    and build it as a hash table on the driver, where it is many times as large."""
+    return rows.hint("merge")
+
+
 def bit_words(rows: DataFrame, by: tuple[str, ...], pos: str = "pos") -> DataFrame:
     """Bits set at ``pos`` as (by, word, mask), 64 to a word: cells are few and fold with bit_or."""
     bit = shl(F.lit(1).cast("long"), F.col(pos).bitwiseAND(F.lit(63).cast("long")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards, hashing, sizing
-from .cells import BROADCAST_BITS, Sketch, all_bits_set, bit_positions, bit_words, dense_words
+from .cells import BROADCAST_BITS, Sketch, all_bits_set, apart, bit_positions, bit_words, dense_words
 
 
 def kernel_positions(hi: Column, lo: Column, k: int, m: int) -> list[Column]:
@@ -64,8 +64,8 @@ class BloomFilter(Sketch):
         probes = self.hashed(keys, key, self.spec).select(*self.by, key, F.explode("__p").alias("pos"))
         probes = probes.withColumn("word", F.shiftright("pos", 6))
         hit = F.call_function("getbit", F.coalesce("mask", F.lit(0).cast("long")), F.col("pos").bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
-        answers = probes.join(self.cells, [*self.by, "word"], "left").groupBy(*self.by, key).agg(F.bool_and(hit).alias(out))
-        return df.join(answers, [*self.by, key], "left")
+        answers = probes.join(apart(self.cells), [*self.by, "word"], "left").groupBy(*self.by, key).agg(F.bool_and(hit).alias(out))
+        return df.join(apart(answers), [*self.by, key], "left")
 
     def fill_ratio(self) -> DataFrame:
         return self.cells.groupBy(*self.by).agg((F.sum(F.bit_count("mask")) / self.bits(self.spec)).alias("fill_ratio"))
@@ -84,8 +84,8 @@ class BloomFilter(Sketch):
         firsts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__at"))
         rows = cls.hashed(firsts, key, spec).select(key, "__at", F.explode("__p").alias("pos"))
         setters = rows.groupBy("pos").agg(F.min("__at").alias("__first"))
-        asked = rows.join(setters, "pos").groupBy(key, "__at").agg((F.max("__first") < F.col("__at")).alias("__was"))
-        return df.join(asked, key, "left").withColumn(out, (F.col(order) > F.col("__at")) | F.col("__was")).drop("__at", "__was")
+        asked = rows.join(apart(setters), "pos").groupBy(key, "__at").agg((F.max("__first") < F.col("__at")).alias("__was"))
+        return df.join(apart(asked), key, "left").withColumn(out, (F.col(order) > F.col("__at")) | F.col("__was")).drop("__at", "__was")
 
 
 class BloomFilter64(BloomFilter):
@@ -158,18 +158,18 @@ class CountingBloomFilter(Sketch):
 
     def _asked(self, df: DataFrame, key: str) -> DataFrame:
         keys = df.where(F.col(key).isNotNull()).select(*self.by, key).distinct()
-        return BloomFilter.hashed(keys, key, self.spec).select(*self.by, key, F.explode(F.array_distinct("__p")).alias("pos")).join(self.cells, [*self.by, "pos"], "left")
+        return BloomFilter.hashed(keys, key, self.spec).select(*self.by, key, F.explode(F.array_distinct("__p")).alias("pos")).join(apart(self.cells), [*self.by, "pos"], "left")
 
     def test(self, df: DataFrame, key: str, out: str = "member") -> DataFrame:
         answers = self._asked(df, key).groupBy(*self.by, key).agg(F.bool_and(F.coalesce("cnt", F.lit(0)) > 0).alias(out))
-        return df.join(answers, [*self.by, key], "left")
+        return df.join(apart(answers), [*self.by, key], "left")
 
     def remove(self, df: DataFrame, key: str) -> CountingBloomFilter:
         """Take each distinct key of ``df`` out once if it is a member. Counters at the top stay there."""
         member = self.test(df.select(*self.by, key).distinct(), key).where("member").drop("member")
         gone = BloomFilter.hashed(member, key, self.spec).select(*self.by, F.explode("__p").alias("pos")).groupBy(*self.by, "pos").agg(F.count("*").alias("gone"))
         left = F.when(F.col("cnt") >= self.spec["top"], F.col("cnt")).otherwise(F.col("cnt") - F.coalesce("gone", F.lit(0)))
-        cells = self.cells.join(gone, [*self.by, "pos"], "left").select(*self.by, "pos", left.alias("cnt")).where("cnt > 0")
+        cells = self.cells.join(apart(gone), [*self.by, "pos"], "left").select(*self.by, "pos", left.alias("cnt")).where("cnt > 0")
         return self.like(cells)
 
 
@@ -199,7 +199,7 @@ class DeletableBloomFilter(Sketch):
 
     def test(self, df: DataFrame, key: str, out: str = "member") -> DataFrame:
         keys = df.where(F.col(key).isNotNull()).select(*self.by, key).distinct()
-        asked = BloomFilter.hashed(keys, key, self.spec).select(*self.by, key, F.explode("__p").alias("pos")).join(self.cells, [*self.by, "pos"], "left")
+        asked = BloomFilter.hashed(keys, key, self.spec).select(*self.by, key, F.explode("__p").alias("pos")).join(apart(self.cells), [*self.by, "pos"], "left")
         return df.join(asked.groupBy(*self.by, key).agg(F.count_if(F.col("hits").isNull()).alias("n")).select(*self.by, key, (F.col("n") == 0).alias(out)), [*self.by, key], "left")
 
     def remove(self, df: DataFrame, key: str) -> DeletableBloomFilter:
@@ -249,12 +249,12 @@ class QuotientFilter(Sketch):
         q, r = self.fingerprint(self.spec, F.col(key))
         mine = self.cells.select(*self.by, F.col("quotient").alias("__q"), F.col("remainder").alias("__r"), F.lit(True).alias(out))
         rows = df.withColumn("__q", q).withColumn("__r", r)
-        return rows.join(mine, [*self.by, "__q", "__r"], "left").withColumn(out, F.when(F.col("__q").isNotNull(), F.coalesce(out, F.lit(False)))).drop("__q", "__r")
+        return rows.join(apart(mine), [*self.by, "__q", "__r"], "left").withColumn(out, F.when(F.col("__q").isNotNull(), F.coalesce(out, F.lit(False)))).drop("__q", "__r")
 
     def remove(self, df: DataFrame, key: str) -> QuotientFilter:
         """Take out one fingerprint for each row of ``df``, as many as there are."""
         gone = QuotientFilter.build(df, key, self.spec, self.by).cells.withColumnRenamed("cnt", "gone")
-        left = self.cells.join(gone, [*self.by, *self.KEYS], "left").withColumn("cnt", F.col("cnt") - F.coalesce("gone", F.lit(0))).drop("gone")
+        left = self.cells.join(apart(gone), [*self.by, *self.KEYS], "left").withColumn("cnt", F.col("cnt") - F.coalesce("gone", F.lit(0))).drop("gone")
         return self.like(left.where("cnt > 0"))
 
 

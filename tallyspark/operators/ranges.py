@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guards, hashing
-from .cells import Sketch
+from .cells import Sketch, apart
 from .membership import with_place
 
 P61 = (1 << 61) - 1
@@ -72,9 +72,9 @@ class Grafite(Sketch):
         bucket = lambda c: F.call_function("div", c, F.lit(width).cast("long"))
         pieces = pieces.withColumn("__b", F.explode(F.sequence(bucket(F.col("__s.a")), bucket(F.col("__s.b")))))
         cells = self.cells.withColumn("__b", bucket(F.col("code")))
-        hit = pieces.join(cells, [*self.by, "__b"]).where(F.col("code").between(F.col("__s.a"), F.col("__s.b"))).select(*names).distinct().withColumn("__hit", F.lit(True))
+        hit = pieces.join(apart(cells), [*self.by, "__b"]).where(F.col("code").between(F.col("__s.a"), F.col("__s.b"))).select(*names).distinct().withColumn("__hit", F.lit(True))
         full = (hi - lo) >= r - 1
-        return ranges.join(hit, names, "left").withColumn(out, F.when(hi < lo, F.lit(False)).when(full, F.lit(True)).otherwise(F.coalesce("__hit", F.lit(False)))).drop("__hit")
+        return ranges.join(apart(hit), names, "left").withColumn(out, F.when(hi < lo, F.lit(False)).when(full, F.lit(True)).otherwise(F.coalesce("__hit", F.lit(False)))).drop("__hit")
 
 
 class InfiniFilter(Sketch):
@@ -130,11 +130,11 @@ class InfiniFilter(Sketch):
     def _asked(self, df: DataFrame, key: str) -> DataFrame:
         hi, lo = hashing.words(F.col(key), self.spec["hash"])
         keys = df.where(F.col(key).isNotNull()).select(key).distinct().withColumn("width", F.explode(F.array(*[F.lit(w) for w in sorted(set(self.spec["widths"]))])))
-        return keys.withColumn("value", self.low_bits(hi, lo, F.col("width"))).join(self.cells, ["width", "value"])
+        return keys.withColumn("value", self.low_bits(hi, lo, F.col("width"))).join(apart(self.cells), ["width", "value"])
 
     def test(self, df: DataFrame, key: str, out: str = "member") -> DataFrame:
         hit = self._asked(df, key).select(key).distinct().withColumn(out, F.lit(True))
-        return df.join(hit, key, "left").withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce(out, F.lit(False))))
+        return df.join(apart(hit), key, "left").withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce(out, F.lit(False))))
 
     @property
     def expansions(self) -> int:
@@ -149,7 +149,7 @@ class InfiniFilter(Sketch):
         """Take out one entry for each distinct key that is a member: of those it matches, the one of most bits."""
         best = self._asked(df, key).groupBy(key).agg(F.max_by(F.struct("width", "value"), "width").alias("c"))
         gone = best.groupBy("c.width", "c.value").agg(F.count("*").alias("gone"))
-        left = self.cells.join(gone, ["width", "value"], "left").withColumn("cnt", F.col("cnt") - F.coalesce("gone", F.lit(0))).drop("gone")
+        left = self.cells.join(apart(gone), ["width", "value"], "left").withColumn("cnt", F.col("cnt") - F.coalesce("gone", F.lit(0))).drop("gone")
         return self.like(left.where("cnt > 0"))
 
 

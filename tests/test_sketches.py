@@ -348,3 +348,21 @@ def test_scalable_in_one_array_and_by_join(spark, monkeypatch):
     assert near[None] is None and all(near[k] for k in range(3000)) and sum(near[k] for k in range(3000, 6000)) < 300
     monkeypatch.setattr(membership, "BROADCAST_BITS", 100)
     assert {r["k"]: r["member"] for r in made.test(asked, "k").collect()} == near
+
+
+def _sent_whole(df):
+    """Joins of the plan that build a side on the driver, but for the few ranges that places are counted in."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+    return [x for x in lines if ("BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x) and "__range" not in x and "__before" not in x]
+
+
+def test_infini_sends_nothing_whole(spark, keys):
+    made = ranges.InfiniFilter.build(keys, "k", "id", ranges.InfiniFilter.sized(64, 16)).remove(keys.where("id < 1000"), "k")
+    assert _sent_whole(made.test(keys, "k")) == []
+
+
+def test_bloom_sends_nothing_whole(spark, keys, monkeypatch):
+    monkeypatch.setattr(membership, "BROADCAST_BITS", 100)
+    made = membership.BloomFilter.build(keys, "k", membership.BloomFilter.sized(3000, 0.01))
+    assert _sent_whole(made.test(keys, "k")) == []
+    assert _sent_whole(membership.BloomFilter.test_and_add(keys, "k", "id", made.spec)) == []
