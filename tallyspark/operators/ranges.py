@@ -192,15 +192,15 @@ class MementoFilter(Sketch):
         asked = asked.withColumn("__a", F.when(F.col("__p") == first, rest(lo)).otherwise(F.lit(0))).withColumn("__z", F.when(F.col("__p") == last, rest(hi)).otherwise(F.lit(top)))
         asked = asked.withColumn("width", F.explode(F.array(*[F.lit(w) for w in sorted(set(self.spec["widths"]))])))
         asked = asked.withColumn("prefix", self._prefix(self.spec, F.col("__p"), F.col("width")))
-        hit = asked.join(self.cells, ["width", "prefix"]).where(F.col("memento").between(F.col("__a"), F.col("__z"))).select(low, high).distinct().withColumn(out, F.lit(True))
-        return ranges.join(hit, [low, high], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+        hit = asked.join(apart(self.cells), ["width", "prefix"]).where(F.col("memento").between(F.col("__a"), F.col("__z"))).select(low, high).distinct().withColumn(out, F.lit(True))
+        return ranges.join(apart(hit), [low, high], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
     def remove(self, df: DataFrame, key: str) -> MementoFilter:
         """Take out one entry for each distinct key that is there, the one of most bits."""
         k = F.col(key).cast("long")
         keys = df.where(F.col(key).isNotNull()).select(key).distinct().withColumn("__p", F.shiftright(k, self.spec["bits"])).withColumn("memento", k.bitwiseAND(F.lit((1 << self.spec["bits"]) - 1).cast("long")))
         keys = keys.withColumn("width", F.explode(F.array(*[F.lit(w) for w in sorted(set(self.spec["widths"]))]))).withColumn("prefix", self._prefix(self.spec, F.col("__p"), F.col("width")))
-        best = keys.join(self.cells, list(self.KEYS)).groupBy(key).agg(F.max_by(F.struct(*self.KEYS), "width").alias("c"))
+        best = keys.join(apart(self.cells), list(self.KEYS)).groupBy(key).agg(F.max_by(F.struct(*self.KEYS), "width").alias("c"))
         gone = best.groupBy(*[F.col(f"c.{x}").alias(x) for x in self.KEYS]).agg(F.count("*").alias("gone"))
-        left = self.cells.join(gone, list(self.KEYS), "left").withColumn("cnt", F.col("cnt") - F.coalesce("gone", F.lit(0))).drop("gone")
+        left = self.cells.join(apart(gone), list(self.KEYS), "left").withColumn("cnt", F.col("cnt") - F.coalesce("gone", F.lit(0))).drop("gone")
         return replace(self, cells=left.where("cnt > 0"))

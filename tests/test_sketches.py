@@ -366,3 +366,8 @@ def test_bloom_sends_nothing_whole(spark, keys, monkeypatch):
     made = membership.BloomFilter.build(keys, "k", membership.BloomFilter.sized(3000, 0.01))
     assert _sent_whole(made.test(keys, "k")) == []
     assert _sent_whole(membership.BloomFilter.test_and_add(keys, "k", "id", made.spec)) == []
+
+
+def test_memento_sends_nothing_whole(spark, keys):
+    made = ranges.MementoFilter.build(keys, "k", "id", ranges.MementoFilter.sized(64, 256, 14)).remove(keys.where("id < 1000"), "k")
+    assert _sent_whole(made.may_hold(keys.select(F.col("k").alias("a"), (F.col("k") + 3).alias("b")), "a", "b")) == []
