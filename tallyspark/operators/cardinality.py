@@ -117,6 +117,24 @@ class HyperLogLogPlus(Sketch):
         return both.select(*by, F.when(exact, F.col("__exact")).otherwise(F.col("__dense")).alias(out))
 
 
+    @classmethod
+    def exact(cls, df: DataFrame, key: str, spec: dict, by: tuple[str, ...] = (), out: str = "estimate") -> DataFrame:
+        """Counts of ``df`` that stay sparse at any size: keys are dealt by hash to as many shards as keep every sketch sparse, and
+        as no key is in two of them, their counts add up. The dense estimates tell how many shards that takes."""
+        most = cls.build(df, key, spec, by).count("n").agg(F.max("n")).first()[0] or 0
+        share = (math.sqrt(16 + max(4, (1 << spec["p"]) // 8)) - 4) ** 2  # eight deviations of a share below the limit
+        shards = math.ceil(most * (1 + 4 * 1.04 / math.sqrt(1 << spec["p"])) / share)
+        if shards <= 1:
+            return cls.distinct(df, key, spec, by, out)
+        parts = cls.distinct(df.withColumn("__shard", shard(F.col(key), shards)), key, spec, (*by, "__shard"), out)
+        return parts.groupBy(*by).agg(F.sum(out).alias(out))
+
+
+def shard(key: Column, shards: int) -> Column:
+    """A number below ``shards`` by a hash of its own, so what a shard holds is a fair share under the sketch's hash."""
+    return F.pmod(F.xxhash64(key.cast("string"), F.lit("shard")), F.lit(shards)).cast("int")
+
+
 class UltraLogLog(Sketch):
     """Cells (idx, posmask): which update values each of 2^p registers has seen. A register shows its largest value and the
     two below it, so fewer registers reach the error of HyperLogLog."""

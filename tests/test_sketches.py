@@ -371,3 +371,13 @@ def test_bloom_sends_nothing_whole(spark, keys, monkeypatch):
 def test_memento_sends_nothing_whole(spark, keys):
     made = ranges.MementoFilter.build(keys, "k", "id", ranges.MementoFilter.sized(64, 256, 14)).remove(keys.where("id < 1000"), "k")
     assert _sent_whole(made.may_hold(keys.select(F.col("k").alias("a"), (F.col("k") + 3).alias("b")), "a", "b")) == []
+
+
+def test_sparse_counts_stay_exact(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("k"), F.when(F.col("id") < 29_000, "a").otherwise("b").alias("g"))
+    rows = rows.unionAll(rows).unionAll(spark.sql("select cast(null as long), 'b'"))
+    spec = cardinality.HyperLogLogPlus.sized(8)  # sparse up to 32 hashes
+    got = cardinality.HyperLogLogPlus.exact(rows, "k", spec, ("g",))
+    assert {tuple(x) for x in got.collect()} == {("a", 29_000), ("b", 1_000)}
+    assert cardinality.HyperLogLogPlus.exact(rows, "k", spec).first()[0] == 30_000
+    assert cardinality.HyperLogLogPlus.exact(rows.where("k < 9"), "k", spec).first()[0] == 9
