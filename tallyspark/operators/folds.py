@@ -17,9 +17,9 @@ from ..functions import guards, hashing, sizing
 
 
 def by_shard(df: DataFrame, key: str, order: str, shards: int) -> DataFrame:
-    """``df`` dealt to ``shards`` tasks by key and sorted by ``order`` in each, with the key's bytes."""
+    """``df`` dealt to ``shards`` tasks, one for each shard of the keys, and sorted by ``order`` in each, with the key's bytes."""
     rows = df.where(F.col(key).isNotNull()).withColumn("__shard", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("shard")), F.lit(shards)).cast("int"))
-    return rows.withColumn("__bytes", hashing.key_bytes(F.col(key))).repartition(shards, "__shard").sortWithinPartitions("__shard", order)
+    return rows.withColumn("__bytes", hashing.key_bytes(F.col(key))).repartitionById(shards, F.col("__shard")).sortWithinPartitions("__shard", order)
 
 
 def _run(df: DataFrame, make: Callable[[int], object], step: Callable, schema: str, names: list[str], keep: list[str], end: Callable | None = None) -> DataFrame:

@@ -74,3 +74,9 @@ def test_window_of_many_users(spark, tmp_path):
     ev = spark.range(30_000).selectExpr("id as event_id", "timestamp_seconds(id % 2 * 3600) as ts", "id div 2 as user_id")
     ev.write.parquet(f"{tmp_path}/events.parquet")
     assert {tuple(x) for x in entry.queries()["sliding_window_distinct"](spark, str(tmp_path)).collect()} == {(0, 15_000), (1, 15_000)}
+
+
+def test_repeats_far_apart_are_not_forgotten(spark, tmp_path):
+    """150,000 users in turn, twice: four filters of a million cells forget most of them on the way."""
+    spark.range(300_000).selectExpr("id as event_id", "id % 150000 as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert tuple(entry.queries()["stable_dedup"](spark, str(tmp_path)).first()) == (300_000, 0, True)
