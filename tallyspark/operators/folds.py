@@ -6,6 +6,7 @@ of the shards stand side by side; the number of shards, not the length of the st
 
 from __future__ import annotations
 
+import array
 import math
 from collections.abc import Callable, Iterator
 
@@ -56,7 +57,9 @@ class CuckooTable:
     def __init__(self, buckets: int, bits: int, seed: int = 1) -> None:
         guards.power_of_two("buckets", buckets)
         self.mask, self.bits = buckets - 1, bits
-        self.table: list[list[int]] = [[] for _ in range(buckets)]
+        self.table = array.array("B" if bits <= 8 else "H" if bits <= 16 else "I" if bits <= 32 else "Q", bytes(0))
+        self.table.frombytes(bytes(buckets * self.ENTRIES * self.table.itemsize))
+        self.size = bytearray(buckets)
         self.random = hashing.SplitMix64(seed)
 
     def places(self, data: bytes) -> tuple[int, int, int]:
@@ -68,35 +71,48 @@ class CuckooTable:
     def other(self, i: int, f: int) -> int:
         return (i ^ hashing.xxh3_64(f.to_bytes(8, "little"))) & self.mask
 
+    def held(self, at: int) -> array.array:
+        """The fingerprints of a bucket, as they came."""
+        return self.table[at * self.ENTRIES : at * self.ENTRIES + self.size[at]]
+
+    def _appended(self, at: int, f: int) -> bool:
+        n = self.size[at]
+        if n == self.ENTRIES:
+            return False
+        self.table[at * self.ENTRIES + n] = f
+        self.size[at] = n + 1
+        return True
+
     def __contains__(self, data: bytes) -> bool:
         f, i, j = self.places(data)
-        return f in self.table[i] or f in self.table[j]
+        return f in self.held(i) or f in self.held(j)
 
     def add(self, data: bytes) -> bool:
         f, i, j = self.places(data)
-        for at in (i, j):
-            if len(self.table[at]) < self.ENTRIES:
-                self.table[at].append(f)
-                return True
+        if self._appended(i, f) or self._appended(j, f):
+            return True
         moves = []
         at = (i, j)[self.random.below(2)]
         for _ in range(self.KICKS):
-            slot = self.random.below(self.ENTRIES)
-            moves.append((at, slot, self.table[at][slot]))
-            f, self.table[at][slot] = self.table[at][slot], f
+            slot = at * self.ENTRIES + self.random.below(self.ENTRIES)
+            moves.append((slot, self.table[slot]))
+            f, self.table[slot] = self.table[slot], f
             at = self.other(at, f)
-            if len(self.table[at]) < self.ENTRIES:
-                self.table[at].append(f)
+            if self._appended(at, f):
                 return True
-        for at, slot, old in reversed(moves):
-            self.table[at][slot] = old
+        for slot, old in reversed(moves):
+            self.table[slot] = old
         return False
 
     def remove(self, data: bytes) -> bool:
         f, i, j = self.places(data)
         for at in (i, j):
-            if f in self.table[at]:
-                self.table[at].remove(f)
+            held = self.held(at)
+            if f in held:
+                held.remove(f)
+                held.append(0)
+                self.table[at * self.ENTRIES : at * self.ENTRIES + len(held)] = held
+                self.size[at] -= 1
                 return True
         return False
 
@@ -105,7 +121,9 @@ class CuckooFilter:
     """Adds, removals and tests in order. A row's ``op`` is add, test_and_add, remove or test."""
 
     @staticmethod
-    def sized(n: int, fp_rate: float, shards: int = 8) -> dict:
+    def sized(n: int, fp_rate: float, shards: int | None = None) -> dict:
+        """For ``n`` keys in all; unless told, a shard for 125,000 of them (eight at least), so a task holds no more as n grows."""
+        shards = shards or max(8, math.ceil(n / 125_000))
         buckets, bits = sizing.cuckoo_shape(max(1, math.ceil(n / shards * 1.1)), fp_rate)
         return {"buckets": buckets, "bits": bits, "shards": shards}
 

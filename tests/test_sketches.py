@@ -381,3 +381,16 @@ def test_sparse_counts_stay_exact(spark):
     assert {tuple(x) for x in got.collect()} == {("a", 29_000), ("b", 1_000)}
     assert cardinality.HyperLogLogPlus.exact(rows, "k", spec).first()[0] == 30_000
     assert cardinality.HyperLogLogPlus.exact(rows.where("k < 9"), "k", spec).first()[0] == 9
+
+
+def test_shards_lie_alone_and_grow_with_the_keys(spark, keys):
+    rows = folds.by_shard(keys, "k", "id", 20).select("__shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(rows) == 20 == len({r["p"] for r in rows})
+    small, large = (folds.CuckooFilter.sized(n, 0.01) for n in (150_000, 60_000_000))
+    assert small["shards"] == 8 and large["buckets"] <= 2 * small["buckets"] * 4
+
+
+def test_cuckoo_table_is_packed():
+    t = folds.CuckooTable(1 << 12, 13)
+    assert t.table.itemsize * len(t.table) + len(t.size) == 9 * (1 << 12)
+    assert t.add(b"a") and t.add(b"b") and b"a" in t and t.remove(b"a") and not t.remove(b"a") and b"b" in t
