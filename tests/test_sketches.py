@@ -394,3 +394,10 @@ def test_cuckoo_table_is_packed():
     t = folds.CuckooTable(1 << 12, 13)
     assert t.table.itemsize * len(t.table) + len(t.size) == 9 * (1 << 12)
     assert t.add(b"a") and t.add(b"b") and b"a" in t and t.remove(b"a") and not t.remove(b"a") and b"b" in t
+
+
+def test_simhash_moves_no_terms(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "c"), (2, None)], "g long, t string")
+    made = similarity.SimHash.build(rows, "t", {"hash": "md5"}, ("g",)).cells
+    assert made._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2  # in place, and what is left
+    assert {r["g"]: r["n"] for r in made.groupBy("g").agg(F.max(F.abs("weight")).alias("n")).collect()} == {1: 3, 2: 1}
