@@ -401,3 +401,26 @@ def test_simhash_moves_no_terms(spark):
     made = similarity.SimHash.build(rows, "t", {"hash": "md5"}, ("g",)).cells
     assert made._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2  # in place, and what is left
     assert {r["g"]: r["n"] for r in made.groupBy("g").agg(F.max(F.abs("weight")).alias("n")).collect()} == {1: 3, 2: 1}
+
+
+def test_neighbours_meet_across_blocks(spark):
+    bags = spark.range(1000).where("id % 97 <> 5").selectExpr("id", "transform(sequence(id, id + id % 7), x -> string(x)) as bag")
+    of = {r["id"]: set(r["bag"]) for r in bags.collect()}
+    for step in (1, 2):
+        got = similarity.with_next(similarity.hashed_terms(bags, "id", "bag"), step, 10)
+        want = {(i, i + 1, len(of[i] & of[i + 1]), len(of[i]), len(of[i + 1])) for i in of if i + 1 in of and i % step == 0}
+        assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+        assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()  # bags don't travel twice
+
+
+def test_signatures_stay_in_their_rows(spark):
+    bags = spark.range(300).selectExpr("id", "transform(sequence(1, id * 37 % 200), x -> x * 31) as t").withColumn("t", F.when(F.col("id") == 7, F.lit(None)).when(F.col("id") == 8, F.array().cast("array<int>")).otherwise(F.col("t")))
+    rows = bags.select("id", F.transform("t", lambda x: F.xxhash64(x)).alias("t")).where("id <> 0")
+    made = similarity.MinHash.signed(rows, 16, "s")
+    assert "Exchange" not in made._jdf.queryExecution().sparkPlan().toString()
+
+    def plain(t):
+        x = [[hashing.mix64((h & hashing.MASK64) ^ hashing.SplitMix64(i).next()) for h in t] for i in range(16)]
+        return [min(y) - (1 << 64) * (min(y) >> 63) for y in x]
+
+    assert all(r["s"] == (plain(r["t"]) if r["t"] else None) for r in made.collect())
