@@ -424,3 +424,20 @@ def test_signatures_stay_in_their_rows(spark):
         return [min(y) - (1 << 64) * (min(y) >> 63) for y in x]
 
     assert all(r["s"] == (plain(r["t"]) if r["t"] else None) for r in made.collect())
+
+
+def test_pairs_are_judged_once_in_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(similarity, "BLOCK_TERMS", 2000)
+    r, rows = random.Random(2), []
+    for g in range(6):
+        base = [r.getrandbits(60) for _ in range(80)]
+        rows += [(100 * g + i, sorted({*base[r.randrange(12) :], r.getrandbits(60)})) for i in range(25)]
+    rows += [(900 + i, [r.getrandbits(60)]) for i in range(20)] + [(999, [])]
+    bags = {i: set(t) for i, t in rows}
+    want = {(a, b) for a in bags for b in bags if a < b and bags[a] and 5 * len(bags[a] & bags[b]) >= 4 * len(bags[a] | bags[b])}
+    signed = similarity.MinHash.signed(spark.createDataFrame(rows, "id long, t array<long>"), 126).cache()
+    found = similarity.verified_pairs(signed, 42, 3, 0.8)
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
